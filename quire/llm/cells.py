@@ -1,0 +1,227 @@
+"""Repeated windows of many texts, found by content-chosen cells.
+
+A window is W consecutive symbols (words or bytes). Each window's anchor is the least identifier of the q-grams in
+it, so equal windows have equal anchors wherever they stand. A cell is a run of consecutive windows of one text
+with the same anchor; it is identified by all its symbols. There are some 2 / (W - q + 2) cells a symbol, and equal
+stretches of text fall into equal cells but at their ends.
+
+1. Anchors that occur in one cell only, once, cannot belong to a repeated window: their cells are done.
+2. Equal cells are one class: what holds of a window in one holds in all.
+3. Only classes that share their anchor with an unequal class are taken apart into single windows, one member for
+   each class, and the windows' identifiers are counted.
+
+Every step groups by an identifier with partial aggregation, so a passage in a third of all texts adds one row a
+task. Nothing is sampled: each repeated window is found.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quire.llm import grams
+from quire.llm.common import cut, small_batches
+
+
+@dataclass(frozen=True)
+class Symbols:
+    """What a text is made of. of gives the symbols of a chunk of texts (bytes, or 64-bit identifiers) and the n+1 offsets of the texts in them."""
+
+    of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    window: int
+    gram: int
+    dtype: type = np.uint64
+
+    @property
+    def width(self) -> int:
+        return self.window - self.gram + 1
+
+
+def wide(values: np.ndarray) -> np.ndarray:
+    return grams.byte_values()[values] if values.dtype == np.uint8 else values
+
+
+def cells_of(values: np.ndarray, first: np.ndarray, symbols: Symbols) -> tuple[np.ndarray, ...]:
+    """(text, start, windows, anchor, class, whether the anchor stands in it twice) of all cells."""
+    values = wide(values)
+    n, w = len(values), symbols.window
+    none = np.zeros(0, np.int64)
+    if n < w:
+        return none, none, none, none, none, none.astype(bool)
+    ids = grams.runs_ids(values, symbols.gram)
+    anchor = grams.window_min(ids, symbols.width)
+    valid = np.ones(n - w + 1, np.bool_)
+    for e in first[1:].tolist():  # windows that would run over a text's end
+        valid[max(0, e - w + 1) : e] = False
+    change = np.empty(len(valid), np.bool_)
+    change[0] = True
+    np.not_equal(anchor[1:], anchor[:-1], out=change[1:])
+    starts_here = first[:-1][first[:-1] < len(valid)]
+    change[starts_here] = True
+    begins = change & valid
+    begins[1:] |= valid[1:] & ~valid[:-1]
+    last = np.append(change[1:], True) & valid
+    last[:-1] |= valid[:-1] & ~valid[1:]
+    s, e = np.flatnonzero(begins), np.flatnonzero(last)
+    sums = grams.prefix(values, grams.WORD_BASE)
+    text = np.searchsorted(first, s, "right") - 1
+    kind = grams.spans_ids(sums, s, e + w, grams.WORD_BASE)
+    tie = np.fromiter((np.count_nonzero(ids[a:b] == h) > 1 for a, b, h in zip(s.tolist(), (e + symbols.width).tolist(), anchor[s], strict=True)), bool, len(s))
+    return text, s - first[text], e - s + 1, anchor[s].view(np.int64), kind.view(np.int64), tie
+
+
+def window_buckets(values: np.ndarray, first: np.ndarray, group: np.ndarray, gram: int, window: int) -> np.ndarray:
+    """For each place, the bucket of the window that starts there, or -1 where it is the only one or runs over its sequence.
+
+    Sequences of different groups share no bucket. Buckets of q-grams come first. A longer stretch's bucket is the pair of its first part's bucket and the one that
+    stands at the later offset; stretches alone in their bucket leave, and each level's buckets serve the next.
+    """
+    values = wide(values)
+    n = len(values)
+    room = np.repeat(first[1:], np.diff(first)) - np.arange(n)
+    bucket = np.full(n, -1, np.int64)
+
+    def number(at: np.ndarray, keys: np.ndarray) -> None:
+        _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
+        bucket[:] = -1
+        bucket[at] = np.where(count[which] > 1, which, -1)
+
+    at = np.flatnonzero(room[: max(0, n - gram + 1)] >= gram)
+    number(at, grams.runs_ids(values, gram)[at] ^ np.repeat(grams.mix(group.view(np.uint64)), np.diff(first))[at])
+    length = gram
+    while length < window:
+        step = min(length, window - length)
+        at = np.flatnonzero((bucket >= 0) & (room >= length + step))
+        at = at[bucket[at + step] >= 0]
+        number(at, bucket[at] * (n + 1) + bucket[at + step])
+        length += step
+    return bucket
+
+
+#: Classes of one anchor that are compared in one cell; more are dealt out by pairs of blocks.
+BLOCK = 2048
+
+
+def repeated_windows(docs: DataFrame, symbols: Symbols, *, earlier: bool, id_col: str, text_col: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Where windows start that are repeated: anywhere else, or, with earlier, in a text of a smaller id.
+
+    Gives the keyed texts (id, row_key, text) and (id, row_key, starts array<struct<a,b>>) of half-open runs of starts;
+    the two join on id (null-safe) and row_key. Rows of the same id and text share a key.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row_key", F.xxhash64("id", "text")).select("id", "row_key", "text")
+    id_type = texts.schema["id"].dataType.simpleString()
+    window, gram = symbols.window, symbols.gram
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, raw, offsets in grams.chunks(b.column(2)):
+                text, start, count, anchor, kind, tie = cells_of(*symbols.of(raw, offsets), symbols)
+                who = pa.array(row + text)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(who), b.column(1).take(who), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor), pa.array(kind), pa.array(tie)],
+                    names=["id", "row_key", "s", "n", "anchor", "kind", "tie"],
+                )
+
+    cells = cut(texts.mapInArrow(scan, f"id {id_type}, row_key long, s int, n int, anchor long, kind long, tie boolean"))
+    live = cells.groupBy("anchor").agg(F.count("*").alias("k"), F.bool_or("tie").alias("tie")).where((F.col("k") > 1) | F.col("tie")).select("anchor")
+    found = cut(cells.join(live, "anchor", "left_semi"))
+    classes = found.groupBy("anchor", "kind").agg(F.count("*").alias("k"), F.min("id").alias("least"), F.bool_or("tie").alias("tie"), F.min(F.struct("id", "row_key", "s", "n")).alias("member"))
+    if earlier:
+        apart = (F.col("low") < F.col("high")) | ((F.col("known") > 0) & (F.col("known") < F.col("classes")))
+        open_ = F.lit(True)
+    else:
+        apart = (F.col("least_k") == 1) & ((F.col("classes") > 1) | F.col("tie"))
+        open_ = F.col("k") == 1
+    anchors = (
+        classes.groupBy("anchor")
+        .agg(F.count("*").alias("classes"), F.min("k").alias("least_k"), F.min("least").alias("low"), F.max("least").alias("high"), F.count("least").alias("known"), F.bool_or("tie").alias("tie"))
+        .where(apart)
+        .select("anchor", F.ceil(F.col("classes") / block).cast("int").alias("blocks"))
+    )
+    wanted = classes.join(anchors, "anchor").select(F.col("member.id").alias("id"), F.col("member.row_key").alias("row_key"), F.struct("anchor", "kind", "least", "blocks", open_.alias("open"), F.col("member.s").alias("s"), F.col("member.n").alias("n")).alias("cell"))
+    wanted = wanted.groupBy("id", "row_key").agg(F.collect_list("cell").alias("cells"))
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, raw, offsets in grams.chunks(b.column(0)):
+                values, first = symbols.of(raw, offsets)
+                lists = b.column(1).slice(row, len(offsets) - 1)
+                flat = lists.flatten()
+                count = np.diff(lists.offsets.to_numpy())
+                base = np.repeat(first[:-1], count)
+                s, n = flat.field("s").to_numpy() + base, flat.field("n").to_numpy()
+                parts = [values[x:y].tobytes() for x, y in zip(s.tolist(), (s + n + window - 1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("kind"), flat.field("least"), flat.field("blocks"), flat.field("open"), pa.array(parts, pa.binary())], names=["anchor", "kind", "least", "blocks", "open", "symbols"])
+
+    joined = texts.join(wanted.withColumnsRenamed({"id": "wid", "row_key": "wkey"}), F.col("id").eqNullSafe(F.col("wid")) & (F.col("row_key") == F.col("wkey")))
+    members = joined.select("text", "cells").mapInArrow(expand, f"anchor long, kind long, least {id_type}, blocks int, open boolean, symbols binary")
+    own = F.pmod(F.xxhash64("kind"), F.col("blocks")).cast("int")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j)))
+    dealt = members.withColumn("pair", pair).select(F.xxhash64("anchor", "pair").alias("at"), "kind", "least", "open", "symbols")
+
+    def compare(group: np.ndarray, kinds: pa.Array, least: pa.Array, open_rows: np.ndarray, parts: pa.Array) -> pa.RecordBatch:
+        values = np.frombuffer(b"".join(parts.to_pylist()), symbols.dtype)
+        sizes = pc.binary_length(parts).to_numpy() // values.itemsize
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        bucket = window_buckets(values, first, group, gram, window)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        hit = bucket >= 0
+        if earlier:
+            rank = pc.rank(least, sort_keys="ascending", null_placement="at_end", tiebreaker="min").to_numpy().astype(np.int64)
+            best = np.full(int(bucket.max(initial=-1)) + 2, np.iinfo(np.int64).max)
+            np.minimum.at(best, bucket[hit], rank[owner[hit]])
+            hit[hit] = best[bucket[hit]] < rank[owner[hit]]
+        hit &= open_rows[owner]
+        edge = np.zeros(len(hit) + 1, np.bool_)
+        edge[first] = True
+        a = np.flatnonzero(hit & np.append(True, ~hit[:-1] | edge[1:-1]))
+        e = np.flatnonzero(hit & np.append(~hit[1:] | edge[1:-1], True))
+        return pa.RecordBatch.from_arrays([kinds.take(pa.array(owner[a])), pa.array((a - first[owner[a]]).astype(np.int32)), pa.array((e + 1 - first[owner[a]]).astype(np.int32))], names=["kind", "a", "b"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.combine_chunks()
+            column = lambda k: rows.column(k).chunk(0)
+            return compare(column("at").to_numpy(), column("kind"), column("least"), column("open").to_numpy(zero_copy_only=False).astype(bool), column("symbols"))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = b.column(0).to_numpy()
+            change = np.flatnonzero(at[1:] != at[:-1])
+            if held and held[-1].column(0)[-1].as_py() != at[0]:
+                yield done(pa.Table.from_batches(held))
+                held = []
+            if len(change):
+                end = int(change[-1]) + 1
+                yield done(pa.Table.from_batches([*held, b.slice(0, end)]))
+                held = [b.slice(end)]
+            else:
+                held.append(b)
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    runs = dealt.repartition("at").sortWithinPartitions("at").mapInArrow(judge, "kind long, a int, b int")
+    known = found.join(classes.select("anchor", "kind", "k", "least"), ["anchor", "kind"])
+    before = (F.col("least") < F.col("id")) | (F.col("id").isNull() & F.col("least").isNotNull())
+    known = known.withColumn("whole", F.coalesce(before if earlier else F.col("k") > 1, F.lit(False)))
+    intervals = known.where("whole").select("id", "row_key", F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b")).alias("run"))
+    part = known.where("not whole").join(runs, "kind").select("id", "row_key", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b")).alias("run"))
+    starts = intervals.union(part).groupBy("id", "row_key").agg(F.collect_list("run").alias("starts"))
+    return texts, starts
+
+
+def with_starts(texts: DataFrame, starts: DataFrame) -> DataFrame:
+    """texts with the runs of their repeated windows' starts; null where there are none."""
+    right = starts.withColumnsRenamed({"id": "rid", "row_key": "rkey"})
+    return texts.join(right, F.col("id").eqNullSafe(F.col("rid")) & (F.col("row_key") == F.col("rkey")), "left").select("id", "row_key", "text", "starts")

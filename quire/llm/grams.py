@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 #: Bytes of text worked on at once; the arrays beside it take some 40 bytes a byte.
 CHUNK = 1 << 21
 
@@ -61,7 +61,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.cache
-def _byte_values() -> np.ndarray:
+def byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=U) * U(0x2545F4914F6CDD1D))
 
 
@@ -111,19 +111,19 @@ def spans_ids(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
 
 
 def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return spans_ids(prefix(_byte_values()[data], _BASE), starts, ends, _BASE)
+    return spans_ids(prefix(byte_values()[data], BYTE_BASE), starts, ends, BYTE_BASE)
 
 
 def runs_ids(ids: np.ndarray, n: int) -> np.ndarray:
     """The identifier of each n consecutive entries; len(ids) - n + 1 of them, or none."""
     if len(ids) < n:
         return np.zeros(0, U)
-    sums = prefix(ids, _WORD_BASE)
-    return mix((sums[n:] - sums[:-n]) * powers(_WORD_BASE, len(sums))[1][: len(ids) - n + 1] + U(n))
+    sums = prefix(ids, WORD_BASE)
+    return mix((sums[n:] - sums[:-n]) * powers(WORD_BASE, len(sums))[1][: len(ids) - n + 1] + U(n))
 
 
 def byte_runs_ids(data: np.ndarray, n: int) -> np.ndarray:
-    return runs_ids(_byte_values()[data], n)
+    return runs_ids(byte_values()[data], n)
 
 
 def window_min(values: np.ndarray, width: int) -> np.ndarray:

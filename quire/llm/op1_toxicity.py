@@ -56,9 +56,9 @@ class Tokens:
 def tokenise(raw: np.ndarray, offsets: np.ndarray) -> Tokens:
     data = grams.LOWER[raw]
     starts, ends, first = grams.words(data, offsets, grams.ALNUM)
-    sums = grams.prefix(grams._byte_values()[data], grams._BASE)
-    place = lambda a, b, salt: ((grams.spans_ids(sums, a, b, grams._BASE) ^ U(salt * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(17)) % U(BUCKETS - 1) + U(1)
-    ids = grams.spans_ids(sums, starts, ends, grams._BASE)
+    sums = grams.prefix(grams.byte_values()[data], grams.BYTE_BASE)
+    place = lambda a, b, salt: ((grams.spans_ids(sums, a, b, grams.BYTE_BASE) ^ U(salt * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(17)) % U(BUCKETS - 1) + U(1)
+    ids = grams.spans_ids(sums, starts, ends, grams.BYTE_BASE)
     _, at, words = np.unique(ids, return_index=True, return_inverse=True)
     a, b = starts[at], ends[at]
     cols = [place(a, b, 1)]
