@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import grams
@@ -108,15 +108,19 @@ def window_buckets(values: np.ndarray, first: np.ndarray, group: np.ndarray, gra
 BLOCK = 2048
 
 
-def repeated_windows(docs: DataFrame, symbols: Symbols, *, earlier: bool, id_col: str, text_col: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows of one id apart; rows of the same id and text share it."""
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+
+
+def repeated_windows(docs: DataFrame, symbols: Symbols, *, earlier: bool, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
     """Where windows start that are repeated: anywhere else, or, with earlier, in a text of a smaller id.
 
-    Gives the keyed texts (id, row_key, text) and (id, row_key, starts array<struct<a,b>>) of half-open runs of starts;
-    the two join on id (null-safe) and row_key. Rows of the same id and text share a key.
+    Gives (id, row_key, starts array<struct<a,b>>): half-open runs of starts, for the texts that have any.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row_key", F.xxhash64("id", "text")).select("id", "row_key", "text")
+    texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
     window, gram = symbols.window, symbols.gram
 
@@ -217,11 +221,11 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, *, earlier: bool, id_col
     known = known.withColumn("whole", F.coalesce(before if earlier else F.col("k") > 1, F.lit(False)))
     intervals = known.where("whole").select("id", "row_key", F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b")).alias("run"))
     part = known.where("not whole").join(runs, "kind").select("id", "row_key", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b")).alias("run"))
-    starts = intervals.union(part).groupBy("id", "row_key").agg(F.collect_list("run").alias("starts"))
-    return texts, starts
+    return intervals.union(part).groupBy("id", "row_key").agg(F.collect_list("run").alias("starts"))
 
 
-def with_starts(texts: DataFrame, starts: DataFrame) -> DataFrame:
-    """texts with the runs of their repeated windows' starts; null where there are none."""
-    right = starts.withColumnsRenamed({"id": "rid", "row_key": "rkey"})
-    return texts.join(right, F.col("id").eqNullSafe(F.col("rid")) & (F.col("row_key") == F.col("rkey")), "left").select("id", "row_key", "text", "starts")
+def with_starts(docs: DataFrame, starts: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """docs with the runs of their repeated windows' starts in _starts; null where there are none."""
+    left = docs.withColumn("_row_key", row_key(id_col, text_col))
+    right = starts.withColumnsRenamed({"id": "_right_id", "row_key": "_right_key", "starts": "_starts"})
+    return left.join(right, F.col(id_col).eqNullSafe(F.col("_right_id")) & (F.col("_row_key") == F.col("_right_key")), "left").drop("_row_key", "_right_id", "_right_key")

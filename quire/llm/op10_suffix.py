@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from quire.llm import grams
 from quire.llm.cells import Symbols, repeated_windows, with_starts
-from quire.llm.common import map_batches
+from quire.llm.common import map_batches, text_only
 
 WINDOW = 400
 
@@ -32,14 +32,14 @@ def byte_symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def find_repeated(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row_key, text, n_bytes, n_removed, spans, kept): spans are half-open byte runs to remove, kept the bytes that stay."""
+    """docs with n_bytes, n_removed, spans and kept: spans are half-open byte runs to remove, kept the bytes that stay."""
     symbols = Symbols(byte_symbols, window, max(1, window // 4), np.uint8)
-    texts, starts = repeated_windows(docs, symbols, earlier=False, id_col=id_col, text_col=text_col)
+    starts = repeated_windows(docs, symbols, earlier=False, id_col=id_col, text_col=text_col)
 
     def run(batch: pa.RecordBatch) -> dict:
         n_bytes, n_removed, spans, kept = [], [], [], []
-        lists = batch.column(batch.schema.get_field_index("starts")).to_pylist()
-        raw, offsets = grams.texts(batch.column(batch.schema.get_field_index("text")))
+        lists = batch.column(batch.schema.get_field_index("_starts")).to_pylist()
+        raw, offsets = grams.texts(batch.column(batch.schema.get_field_index(text_col)))
         for k, runs in enumerate(lists):
             own = raw[offsets[k] : offsets[k + 1]]
             n_bytes.append(len(own))
@@ -57,9 +57,25 @@ def find_repeated(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_i
 
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     added = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
-    return map_batches(with_starts(texts, starts), run, added)
+    return map_batches(with_starts(docs, starts, id_col=id_col, text_col=text_col), run, added).drop("_starts")
+
+
+def remove_repeated(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the repeated bytes cut out of their texts; columns stay as they are. Null texts stay null."""
+    names = docs.columns
+    hidden = docs.select([F.col(c).alias(f"_c{k}") for k, c in enumerate(names)])
+    at = {c: f"_c{k}" for k, c in enumerate(names)}
+    found = find_repeated(hidden, window=window, id_col=at[id_col], text_col=at[text_col])
+
+    def decode(batch: pa.RecordBatch) -> dict:
+        kept, count = batch.column(batch.schema.get_field_index("kept")), batch.column(batch.schema.get_field_index("n_removed"))
+        text = batch.column(batch.schema.get_field_index(at[text_col]))
+        return {"cut": [bytes(k.as_py()).decode(errors="ignore") if n.as_py() else t.as_py() for k, n, t in zip(kept, count, text, strict=True)]}
+
+    cut_text = map_batches(found, decode, T.StructType([T.StructField("cut", T.StringType())]))
+    return cut_text.select([F.col("cut" if c == text_col else f"_c{k}").alias(c) for k, c in enumerate(names)])
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_repeated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    found = find_repeated(text_only(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

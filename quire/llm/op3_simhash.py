@@ -19,6 +19,7 @@ but no component; an empty table gives an empty result; other columns are not re
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +36,13 @@ from quire.llm.components import components
 BLOCK = 2048
 
 
-def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
-    """The 64-bit SimHash of each text."""
+def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, k: int, sketches: list | None = None) -> np.ndarray:
+    """The 64-bit SimHash of each text. sketches gets an array of the texts' sketches: eight bytes, each of the least hash in an eighth of the range."""
     data = grams.LOWER[raw]
     starts, ends, first = grams.words(data, offsets, grams.SPACED)
     out = np.zeros(len(offsets) - 1, np.uint64)
+    if sketches is not None:
+        sketches.append(np.zeros(len(out), np.uint64))
     if not len(starts):
         return out
     solid = grams.SPACED[data]
@@ -57,6 +60,11 @@ def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
     hashes = np.fromiter((digest(text[x:y], 42) for x, y in zip(a[begin].tolist(), b[last].tolist(), strict=True)), np.uint64, len(begin))
     some = np.flatnonzero(shingles)
     edges = np.concatenate([[0], np.cumsum(shingles[some])])
+    if sketches is not None:
+        mixed = grams.mix(hashes)
+        for part in range(8):
+            least = np.minimum.reduceat(np.where(mixed >> np.uint64(61) == part, mixed, np.uint64(0xFFFFFFFFFFFFFFFF)), edges[:-1])
+            sketches[-1][some] |= (grams.mix(least) & np.uint64(0xFF)) << np.uint64(8 * part)
     step = 1 << 16
     totals = np.zeros((len(some), 64), np.int64)
     for lo in range(0, len(hashes), step):
@@ -69,14 +77,14 @@ def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprint(docs: DataFrame, *, shingle_words: int = 4, text_col: str = "text") -> DataFrame:
-    """docs with fingerprint, the 64 bits as a signed long."""
+    """docs with fingerprint, the 64 bits as a signed long, and sketch, eight bytes that agree as often as shingle sets do."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        column = batch.column(batch.schema.get_field_index(text_col))
-        parts = [fingerprints_of(data, offsets, shingle_words) for _, data, offsets in grams.chunks(column)]
-        return {"fingerprint": pa.array(np.concatenate(parts).view(np.int64))}
+        column, sketches = batch.column(batch.schema.get_field_index(text_col)), []
+        parts = [fingerprints_of(data, offsets, shingle_words, sketches) for _, data, offsets in grams.chunks(column)]
+        return {"fingerprint": pa.array(np.concatenate(parts).view(np.int64)), "sketch": pa.array(np.concatenate(sketches).view(np.int64))}
 
-    return map_batches(docs, run, T.StructType([T.StructField("fingerprint", T.LongType())]))
+    return map_batches(docs, run, T.StructType([T.StructField("fingerprint", T.LongType()), T.StructField("sketch", T.LongType())]))
 
 
 def segments_of(count: int) -> list[tuple[int, int]]:
@@ -92,27 +100,53 @@ def _ball(width: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _index(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
-    """(key, fingerprint, node, probe): the table's entries and the lookups."""
+    """(key, fingerprint, node, sketch, probe): the table's entries and the lookups."""
     layout = [(i, a, w, *_ball(w, radius // segments)) for i, (a, w) in enumerate(segments_of(segments))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, node = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            fp, node, sketch = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()
             for i, low, width, masks, high in layout:
                 value = (fp >> np.uint64(low)) & np.uint64((1 << width) - 1)
                 row, mask = np.nonzero((value[:, None] & high[None, :]) == 0) if len(masks) else (np.zeros(0, int),) * 2
                 key = np.concatenate([value, value[row] ^ masks[mask]]) if len(masks) else value
                 whose = np.concatenate([np.arange(len(fp)), row])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.astype(np.int64) * segments + i), pa.array(fp[whose].view(np.int64)), pa.array(node[whose]), pa.array(np.arange(len(whose)) >= len(fp))],
-                    names=["key", "fingerprint", "node", "probe"],
+                    [pa.array(key.astype(np.int64) * segments + i), pa.array(fp[whose].view(np.int64)), pa.array(node[whose]), pa.array(sketch[whose]), pa.array(np.arange(len(whose)) >= len(fp))],
+                    names=["key", "fingerprint", "node", "sketch", "probe"],
                 )
 
-    return nodes.select("fingerprint", "node").mapInArrow(run, "key long, fingerprint long, node long, probe boolean")
+    return nodes.select("fingerprint", "node", "sketch").mapInArrow(run, "key long, fingerprint long, node long, sketch long, probe boolean")
 
 
-def forest(fp: np.ndarray, probe: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+def _alike(x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
+    """Whether at least so many of the sketches' eight bytes agree."""
+    return ((x ^ y)[..., None].view(np.uint8) == 0).sum(-1) >= least
+
+
+def forest(fp: np.ndarray, sketch: np.ndarray, probe: np.ndarray, radius: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among entries of one cell; two lookups are not linked, the table is between."""
+    table = np.flatnonzero(~probe)
+    pairs_a, pairs_b, n = [], [], 0
+    for i in range(0, len(table), 256):
+        rows = table[i : i + 256]
+        x, y = np.nonzero(np.bitwise_count(fp[rows][:, None] ^ fp[None, :]) <= radius)
+        x = rows[x]
+        once = (x < y) | (probe[y] & (x != y))
+        x, y = x[once], y[once]
+        if least:
+            ok = _alike(sketch[x], sketch[y], least)
+            x, y = x[ok], y[ok]
+        pairs_a.append(x)
+        pairs_b.append(y)
+        n += len(x)
+        if n > 8 * len(fp):
+            return _walk(fp, sketch, probe, radius, least)
+    return np.concatenate(pairs_a), np.concatenate(pairs_b)
+
+
+def _walk(fp: np.ndarray, sketch: np.ndarray, probe: np.ndarray, radius: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The forest by walking from entry to entry, each compared with what is not yet reached."""
     left, a, b = np.arange(len(fp)), [], []
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -121,32 +155,33 @@ def forest(fp: np.ndarray, probe: np.ndarray, radius: int) -> tuple[list[int], l
             near = np.bitwise_count(fp[left] ^ fp[x]) <= radius
             if probe[x]:
                 near &= ~probe[left]
+            if least:
+                near &= _alike(sketch[left], sketch[x], least)
             found = left[near]
             if len(found):
                 a += [x] * len(found)
                 b += found.tolist()
                 queue += found.tolist()
                 left = left[~near]
-    return a, b
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _cells(rows: DataFrame, radius: int) -> DataFrame:
+def _cells(rows: DataFrame, radius: int, least: int) -> DataFrame:
     """Links of each cell; rows come sorted by cell."""
 
-    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, probe: np.ndarray) -> pa.RecordBatch:
+    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, sketch: np.ndarray, probe: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(edge, len(key)))
         live = np.flatnonzero((size > 1) & (np.add.reduceat(~probe, edge, dtype=np.int64) > 0))
-        out_a, out_b = [], []
-        for two in (live[size[live] == 2],):
-            x, y = edge[two], edge[two] + 1
-            ok = (np.bitwise_count(fp[x] ^ fp[y]) <= radius) & ~(probe[x] & probe[y])
-            out_a.append(node[x[ok]])
-            out_b.append(node[y[ok]])
+        x = edge[live[size[live] == 2]]
+        ok = (np.bitwise_count(fp[x] ^ fp[x + 1]) <= radius) & ~(probe[x] & probe[x + 1])
+        if least:
+            ok &= _alike(sketch[x], sketch[x + 1], least)
+        out_a, out_b = [node[x[ok]]], [node[x[ok] + 1]]
         for s, n in zip(edge[live[size[live] > 2]].tolist(), size[live[size[live] > 2]].tolist(), strict=True):
-            a, b = forest(fp[s : s + n], probe[s : s + n], radius)
-            out_a.append(node[s + np.array(a, np.int64)])
-            out_b.append(node[s + np.array(b, np.int64)])
+            a, b = forest(fp[s : s + n], sketch[s : s + n], probe[s : s + n], radius, least)
+            out_a.append(node[s + a])
+            out_b.append(node[s + b])
         u, v = np.concatenate(out_a), np.concatenate(out_b)
         other = u != v
         return pa.RecordBatch.from_arrays([pa.array(u[other]), pa.array(v[other])], names=["u", "v"])
@@ -168,29 +203,54 @@ def _cells(rows: DataFrame, radius: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def links(nodes: DataFrame, *, radius: int = 4, segments: int = 3, block: int = BLOCK) -> DataFrame:
-    """(u, v): links that connect all nodes with fingerprints at `radius` or fewer differing bits. nodes: distinct fingerprint, node."""
+def links(nodes: DataFrame, *, radius: int = 4, segments: int = 3, least: int = 0, block: int = BLOCK) -> DataFrame:
+    """(u, v): links that connect all nodes with fingerprints at `radius` or fewer differing bits.
+
+    nodes: fingerprint, node and sketch. With least, so many bytes of two nodes' sketches must agree besides.
+    """
     spark = nodes.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     index = _index(nodes, radius, segments)
     hot = index.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("probe")).alias("t")).where((F.col("n") > block) & (F.col("t") > 0))
     hot = hot.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("fingerprint", "node"), F.col("blocks")).cast("int")
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j) + 1)
     )
-    rows = index.join(hot, "key", "left").withColumn("pair", F.explode(pairs)).select(F.xxhash64("key", "pair").alias("cell"), "fingerprint", "node", "probe")
-    return _cells(rows.repartition("cell").sortWithinPartitions("cell"), radius)
+    rows = index.join(hot, "key", "left").withColumn("pair", F.explode(pairs)).select(F.xxhash64("key", "pair").alias("cell"), "fingerprint", "node", "sketch", "probe")
+    return _cells(rows.repartition("cell").sortWithinPartitions("cell"), radius, least)
+
 
+def near_duplicates(docs: DataFrame, *, shingle_words: int = 4, radius: int = 4, segments: int = 3, least: int = 0, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint, component_id) of each document; component_id is the least id reachable by links.
 
-def near_duplicates(docs: DataFrame, *, shingle_words: int = 4, radius: int = 4, segments: int = 3, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id) of each document; component_id is the least id reachable by links."""
-    marked = cut(fingerprint(text_only(docs, id_col, text_col), shingle_words=shingle_words, text_col=text_col).select(id_col, "fingerprint"))
-    nodes = marked.where(F.col(id_col).isNotNull()).groupBy("fingerprint").agg(F.min(id_col).cast("long").alias("node"))
-    roots = components(links(nodes, radius=radius, segments=segments, block=block))
+    With least, documents are linked only if so many of their sketches' eight bytes agree besides, equal fingerprints included.
+    """
+    by = ["fingerprint", "sketch"] if least else ["fingerprint"]
+    marked = cut(fingerprint(text_only(docs, id_col, text_col), shingle_words=shingle_words, text_col=text_col).select(id_col, "fingerprint", "sketch"))
+    nodes = marked.where(F.col(id_col).isNotNull()).groupBy(*by).agg(F.min(id_col).cast("long").alias("node"), *([] if least else [F.lit(0).cast("long").alias("sketch")]))
+    roots = components(links(nodes, radius=radius, segments=segments, least=least, block=block))
     small_batches(docs.sparkSession)
-    named = nodes.join(roots, nodes["node"] == roots["u"], "left").select("fingerprint", F.coalesce("root", "node").alias("component_id"))
-    return marked.join(named, "fingerprint", "left").select(id_col, "fingerprint", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
+    named = nodes.join(roots, nodes["node"] == roots["u"], "left").select(*by, F.coalesce("root", "node").alias("component_id"))
+    return marked.join(named, by, "left").select(id_col, "fingerprint", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8, segments: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near copies: the one with the least id. Rows with a null id stay.
+
+    Two shingle sets of Jaccard similarity J have cosine 2J / (1 + J), and fingerprints differ in acos(cosine) / pi of
+    their bits; the radius is the distance expected at the given similarity (9 bits at 0.8). Three of the eight bytes
+    of two sketches must agree besides: unlike texts have that by chance once in 300,000 pairs.
+    """
+    radius = int(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    found = near_duplicates(docs, shingle_words=shingle_words, radius=radius, segments=segments, least=3, id_col=id_col, text_col=text_col)
+    known = cut(found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("_n"), F.min("component_id").alias("_component")))
+    stays = known.where(F.col("_component") == F.col(id_col)).select(id_col)
+    kept = docs.join(stays, id_col, "left_semi").select(*docs.columns)
+    if known.where("_n > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col])
+    nameless = docs.where(F.col(id_col).isNull())
+    return kept.unionByName(nameless)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from quire.llm import grams
 from quire.llm.cells import Symbols, repeated_windows, with_starts
-from quire.llm.common import map_batches
+from quire.llm.common import map_batches, text_only
 
 
 def word_symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,11 +39,12 @@ def removed_places(runs: list[dict] | None, length: int, window: int) -> np.ndar
 def remove_repeated_words(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept): kept has the words that stay, joined by one space."""
     symbols = Symbols(word_symbols, window, max(1, (window + 1) // 2))
-    texts, starts = repeated_windows(docs, symbols, earlier=True, id_col=id_col, text_col=text_col)
+    docs = text_only(docs, id_col, text_col)
+    starts = repeated_windows(docs, symbols, earlier=True, id_col=id_col, text_col=text_col)
 
     def run(batch: pa.RecordBatch) -> dict:
         n_words, n_removed, kept = [], [], []
-        at, lists = batch.schema.get_field_index("text"), batch.column(batch.schema.get_field_index("starts"))
+        at, lists = batch.schema.get_field_index(text_col), batch.column(batch.schema.get_field_index("_starts"))
         for row, raw, offsets in grams.chunks(batch.column(at)):
             begin, end, first = grams.words(raw, offsets, grams.SPACED)
             data = raw.tobytes()
@@ -56,7 +57,7 @@ def remove_repeated_words(docs: DataFrame, *, window: int = 50, id_col: str = "d
         return {"n_words": n_words, "n_removed": n_removed, "kept": kept}
 
     added = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return map_batches(with_starts(texts, starts), run, added).select(F.col("id").alias(id_col), "n_words", "n_removed", "kept")
+    return map_batches(with_starts(docs, starts, id_col=id_col, text_col=text_col), run, added).select(id_col, "n_words", "n_removed", "kept")
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

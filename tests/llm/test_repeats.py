@@ -70,7 +70,7 @@ def words_result(df, **options):
 
 
 def bytes_result(df, **options):
-    return sorted(((r["id"], r["n_bytes"], r["n_removed"], len(r["spans"]), sha(bytes(r["kept"]))) for r in op10_suffix.find_repeated(df, **options).collect()), key=str)
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), sha(bytes(r["kept"]))) for r in op10_suffix.find_repeated(df, **options).collect()), key=str)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -85,7 +85,7 @@ def test_words_agree_with_brute_force(spark, seed, window):
 @pytest.mark.parametrize("window", [9, 40])
 def test_bytes_agree_with_brute_force(spark, seed, window):
     rows = texts(seed)
-    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, spans int, id string")
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, spans int, row_key string")
     assert bytes_result(df, window=window) == brute_bytes(rows, window)
 
 
@@ -106,3 +106,13 @@ def test_whole_tables(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert rows_of(op4_substring.op4_substring(spark, sf_dir), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(rows, 50)
     assert rows_of(op10_suffix.op10_suffix(spark, sf_dir), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(rows, 400)
+
+
+def test_remove_repeated_keeps_columns(spark):
+    rows = texts(6)
+    df = spark.createDataFrame([(i, t, k, "src", "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, kept int, source string, spans string")
+    out = op10_suffix.remove_repeated(df, window=40)
+    assert out.columns == df.columns and out.count() == len(rows)
+    whole = {k: t for k, (_, t) in enumerate(rows)}
+    untouched = [r for r in out.collect() if r["text"] == whole[r["kept"]]]
+    assert len(untouched) == sum(r[2] == 0 for r in brute_bytes(rows, 40))

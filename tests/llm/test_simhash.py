@@ -50,7 +50,7 @@ def test_links_connect_all_near_pairs(spark, radius, segments, block):
                 f ^= 1 << int(b)
             fps.add(f)
     fps = sorted(fps)
-    nodes = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), i) for i, f in enumerate(fps)], "fingerprint long, node long")
+    nodes = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), i, 0) for i, f in enumerate(fps)], "fingerprint long, node long, sketch long")
     links = op.links(nodes, radius=radius, segments=segments, block=block).collect()
     assert all(bin(fps[r["u"]] ^ fps[r["v"]]).count("1") <= radius for r in links)
     from quire.llm.components import components
@@ -75,3 +75,19 @@ def test_odd_rows(spark):
     signed = lambda t: int(np.uint64(brute_fingerprint(t)).astype(np.int64))
     assert got == {(1, 0, 1), (2, 0, 1), (3, 0, 1), (None, signed("a b c d e"), None), (4, signed("a b c d e"), 4), (6, signed("a b c d e"), 4), (5, signed("word " * 30000), 5)}
     assert op.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_keep_one_of_near_copies(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    base = [" ".join(rng.choice(words) for _ in range(300)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100 + i, t) for i, t in enumerate(base[:4])]
+    rows += [(200 + i, t + " one more") for i, t in enumerate(base[4:8])]
+    rows += [(300, None), (None, base[0]), (9, base[9])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fingerprint string")
+    kept = op.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, i) for i in range(12)] + [(False, 300), (True, 0)]
