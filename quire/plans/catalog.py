@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["find"]
+MODULES = ["find", "grid", "profile"]
 
 for _name in MODULES:
     importlib.import_module(f"quire.operators.{_name}")
