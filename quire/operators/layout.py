@@ -2,10 +2,134 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import bisect
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions import text as X
+from quire.functions.text import FULL_WIDTH
+from quire.plans.registry import query
+from quire.sources.adapters import paragraphs
+
 
 def assign_node_ids(paras: DataFrame) -> DataFrame:
     """node_id from 1 over each document's paragraphs, on through its sections."""
     return paras.withColumn("node_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "block")))
+
+
+#: Characters that may not begin or end a line.
+NO_START = set(")]},.!?;:'\"、。…·―ー》」』】）｝〕〉＞≫］﹞〞’”，．！？；：%‰℃°％")
+NO_END = set("([{'\"《「『【（｛〔〈＜≪［〝‘“$₩£€¥＄￥")
+HANG = 8
+
+
+def _full(ch: str) -> bool:
+    return any(a <= ord(ch) <= b for a, b in FULL_WIDTH)
+
+
+def _settle(text: str, start: int, end: int) -> int:
+    """A break moved so that no forbidden character begins the next line or, failing that, ends this one."""
+    if not start < end < len(text):
+        return end
+    hung = end
+    while hung < min(len(text), end + HANG) and text[hung] in NO_START:
+        hung += 1
+    if hung > end:
+        return hung
+    while end > start + 1 and text[end - 1] in NO_END:
+        end -= 1
+    return end
+
+
+def break_lines(text: str, width: float, size: float = 1000.0) -> list[tuple[int, int]]:
+    """(start, end) of each line under flat advances.
+
+    Prefix widths are bisected for what fits. Full-width characters break anywhere; other text at its last space, or,
+    if a word alone is wider than the line, between characters. A line feed ends its line and belongs to none.
+    """
+    sums, at = [0.0], 0.0
+    for ch in text:
+        at += size * (0.3 if ch in " \t" else 1.0 if _full(ch) else 0.5)
+        sums.append(at)
+    out, start, n = [], 0, len(text)
+    while start < n:
+        feed = text.find("\n", start)
+        stop = n if feed < 0 else feed
+        fit = min(stop, max(start + 1, bisect.bisect_right(sums, sums[start] + width + 1e-9) - 1)) if stop > start else start
+        if fit == stop and feed >= 0:
+            out.append((start, feed))
+            start = feed + 1
+            continue
+        end = fit
+        if end < n and not _full(text[end]):
+            space = max(text.rfind(" ", start, end), text.rfind("　", start, end)) + 1
+            if space > start:
+                end = space
+            else:
+                word = end
+                while word < n and text[word] != " " and not _full(text[word]):
+                    word += 1
+                if sums[word] - sums[start] <= width:
+                    end = max(word, start + 1)
+        end = _settle(text, start, end)
+        out.append((start, end))
+        start = end
+    return out or [(0, 0)]
+
+
+def line_breaks(paras: DataFrame, width: float = 42000.0) -> DataFrame:
+    """(doc_id, section, block, lines): half-open ranges of each paragraph's lines."""
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def lines(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": a, "end": b} for a, b in break_lines(t or "", width)])
+
+    return paras.select("doc_id", "section", "block", lines("text").alias("lines"))
+
+
+def paginate(heights: DataFrame, body: float) -> DataFrame:
+    """(doc_id, section, block, page): on which page each block starts: a running sum that starts anew when a page is full.
+
+    heights: doc_id, section, block, breaks (boolean), parts (array<double>: a paragraph's lines or a table's rows). A
+    part goes to a new page if it does not fit, unless the page is empty or no page could hold it. Sections begin new
+    pages. The fold runs over one ordered array for each document, without Python.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("section", "block", "breaks", "parts")))
+    zero = F.struct(F.lit(1).alias("page"), F.lit(0.0).alias("at"), F.lit(0).cast("long").alias("section"), F.array().cast("array<struct<section:bigint,block:bigint,page:int>>").alias("out"))
+
+    def part(acc: Column, h: Column) -> Column:
+        turn = (acc["at"] + h > body) & (acc["at"] > 0) & (h <= body)
+        page = F.when(turn, acc["page"] + 1).otherwise(acc["page"])
+        return F.struct(page.alias("page"), F.when(turn, h).otherwise(acc["at"] + h).alias("at"), F.when(acc["first"] == 0, page).otherwise(acc["first"]).alias("first"))
+
+    def block(acc: Column, b: Column) -> Column:
+        turn = ((b["section"] > acc["section"]) | b["breaks"]) & (acc["at"] > 0)
+        begin = F.struct(F.when(turn, acc["page"] + 1).otherwise(acc["page"]).alias("page"), F.when(turn, 0.0).otherwise(acc["at"]).alias("at"), F.lit(0).alias("first"))
+        done = F.aggregate(b["parts"], begin, part)
+        step = F.transform(F.array(done), lambda d: F.struct(d["page"].alias("page"), d["at"].alias("at"), b["section"].alias("section"), F.array_append(acc["out"], F.struct(b["section"].alias("section"), b["block"].alias("block"), F.when(d["first"] == 0, d["page"]).otherwise(d["first"]).alias("page"))).alias("out")))
+        return F.get(step, F.lit(0))
+
+    folded = heights.groupBy("doc_id").agg(ordered.alias("all")).select("doc_id", F.aggregate("all", zero, block).alias("end"))
+    return folded.select("doc_id", F.explode("end.out").alias("b")).select("doc_id", "b.section", "b.block", F.col("b.page").cast("long").alias("page"))
+
+
+def _heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.greatest(F.ceil(X.flat_width(F.col("text")) / 42000.0), F.lit(1)).cast("int")
+    return paragraphs(spark, sf_dir).select("doc_id", F.floor(F.col("block") / 40).cast("long").alias("section"), "block", (F.col("block") % 17 == 16).alias("breaks"), F.array_repeat(F.lit(1600.0), lines).alias("parts"))
+
+
+@query()
+def line_break(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_breaks(paragraphs(spark, sf_dir)).select("doc_id", "block", F.size("lines").alias("n_lines"), F.element_at("lines", -1)["start"].alias("last_start"))
+
+
+@query()
+def block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paginate(_heights(spark, sf_dir), 69788.0)
+
+
+@query(name="paginate")
+def paginate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paginate(_heights(spark, sf_dir), 69788.0).groupBy("doc_id").agg(F.max("page").alias("pages"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["find", "grid", "profile", "style", "spatial", "selection", "edit", "intents", "fill", "charts"]
+MODULES = ["find", "layout", "grid", "profile", "style", "spatial", "selection", "edit", "intents", "fill", "charts", "files", "extensions"]
 
 for _name in MODULES:
     importlib.import_module(f"quire.operators.{_name}")
