@@ -1,4 +1,8 @@
-"""The queries of the text operators, and SQL for those that SQL can express."""
+"""The queries of the text operators, and SQL for those that SQL can express.
+
+The recurrent network, XXH64 fingerprints, license rules with lookahead, BPE merges, learned rules and byte windows of
+texts are beyond the SQL engine at hand; their queries are tested against brute force in tests/llm.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,47 @@ import re
 
 import quire.llm
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+SUBSTRING = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 50], ' ') AS s FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+least_ AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM win JOIN least_ USING (s) WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(range(len(w))) AS k, unnest(w) AS x FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS t FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS h, coalesce(html, '') AS html FROM pages),
+top AS (SELECT html, max(page_id) AS m FROM p GROUP BY html)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + (5 * j) // 4, 2))::INT >> (3 - (5 * j) % 4)::INT) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
+FROM p JOIN top USING (html)"""
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
+item AS (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[i + 1 : i + 10], ' ') AS s FROM (SELECT *, unnest(range(greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)),
+size AS (SELECT DISTINCT size FROM item),
+win AS (SELECT doc_id, i, size, array_to_string(w[i + 1 : i + size], ' ') AS s FROM (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS i FROM d, size WHERE len(w) >= size)),
+hit AS (SELECT doc_id, i, size, item_id FROM win JOIN item USING (s, size)),
+place AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hit) GROUP BY doc_id),
+own AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(place.n, 0)::BIGINT AS n_hit, coalesce(own.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, place.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN place ON place.doc_id = d.doc_id LEFT JOIN own ON own.doc_id = d.doc_id"""
+
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+e AS (SELECT *, length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + length(replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), chr(10), '<|nl|>')) + 24 AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
 
 def queries() -> dict:
     """opN_<name> of each module of that name, by N."""
@@ -16,4 +61,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_substring": SUBSTRING, "op5_warc": WARC, "op6_decontamination": DECONTAMINATION, "op8_chat": CHAT}

@@ -1,0 +1,15 @@
+import duckdb
+import pytest
+
+from quire.llm import queries as q
+
+
+@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
+def test_agrees_with_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    got = q.queries()[name](spark, sf_dir)
+    columns = sorted(got.columns)
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({q.oracle_sql()[name]})").fetchall()
+    assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, want))
