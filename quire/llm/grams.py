@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 
 U = np.uint64
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
-#: Bytes of text worked on at once; the arrays beside it take some 40 bytes a byte.
-CHUNK = 1 << 21
+#: Bytes of text worked on at once; the arrays beside it take up to some 100 bytes a byte.
+CHUNK = 1 << 19
 
 
 def _class_table(separators: bytes) -> np.ndarray:
@@ -43,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=3)
 def _powers_to(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     def run(b: int) -> np.ndarray:
         out = np.ones(1 << bits, U)
@@ -57,7 +57,7 @@ def _powers_to(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers_to(base, max(16, int(n).bit_length()))
+    return _powers_to(base, max(20, int(n).bit_length()))
 
 
 @functools.cache

@@ -309,7 +309,7 @@ def score(docs: DataFrame, net: Network, *, text_col: str = "text") -> DataFrame
 
     def run(batch: pa.RecordBatch) -> dict:
         column = batch.column(batch.schema.get_field_index(text_col))
-        parts = [shared.value.scores(tokenise(data, offsets)) for _, data, offsets in grams.chunks(column, 1 << 20)]
+        parts = [shared.value.scores(tokenise(data, offsets)) for _, data, offsets in grams.chunks(column)]
         found = np.concatenate(parts)
         return {"score": pa.array(found), "predicted": pa.array((found >= 0.5).astype(np.int32))}
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from quire.llm.common import map_batches, text_only
 
-CACHE = 700_000
+CACHE = 300_000
 
 #: White space as Unicode defines it; the regex module's own class also holds U+001C to U+001F.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
