@@ -51,6 +51,7 @@ class Tokens:
     gram_first: np.ndarray
     words: np.ndarray  # distinct word of each running word
     first: np.ndarray  # n+1 offsets of the texts in words
+    ids: np.ndarray  # of the distinct words
 
 
 def tokenise(raw: np.ndarray, offsets: np.ndarray) -> Tokens:
@@ -59,7 +60,7 @@ def tokenise(raw: np.ndarray, offsets: np.ndarray) -> Tokens:
     sums = grams.prefix(grams.byte_values()[data], grams.BYTE_BASE)
     place = lambda a, b, salt: ((grams.spans_ids(sums, a, b, grams.BYTE_BASE) ^ U(salt * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(17)) % U(BUCKETS - 1) + U(1)
     ids = grams.spans_ids(sums, starts, ends, grams.BYTE_BASE)
-    _, at, words = np.unique(ids, return_index=True, return_inverse=True)
+    distinct, at, words = np.unique(ids, return_index=True, return_inverse=True)
     a, b = starts[at], ends[at]
     cols = [place(a, b, 1)]
     for salt, (side, n) in enumerate(EDGES, 2):
@@ -70,7 +71,28 @@ def tokenise(raw: np.ndarray, offsets: np.ndarray) -> Tokens:
     gram_first = np.concatenate([[0], np.cumsum(count)])
     begin = np.repeat(a - gram_first[:-1], count) + np.arange(gram_first[-1])
     gram_places = place(begin, np.minimum(begin + 3, np.repeat(b, count)), 99)
-    return Tokens(np.stack(cols, 1).astype(np.int32), gram_places.astype(np.int32), gram_first, words.astype(np.int32), first)
+    return Tokens(np.stack(cols, 1).astype(np.int32), gram_places.astype(np.int32), gram_first, words.astype(np.int32), first, distinct)
+
+
+def tokenise_all(texts: pa.Array) -> Tokens:
+    """tokenise, a chunk at a time: the arrays beside the text are many times its size."""
+    parts = [tokenise(data, offsets) for _, data, offsets in grams.chunks(texts)]
+    words_before = np.cumsum([0, *(len(t.ids) for t in parts)])
+    grams_before = np.cumsum([0, *(len(t.gram_places) for t in parts)])
+    running_before = np.cumsum([0, *(len(t.words) for t in parts)])
+    ids, at, same = np.unique(np.concatenate([t.ids for t in parts]), return_index=True, return_inverse=True)
+    begins = np.concatenate([t.gram_first[:-1] + g for t, g in zip(parts, grams_before, strict=False)])[at]
+    counts = np.concatenate([np.diff(t.gram_first) for t in parts])[at]
+    gram_first = np.concatenate([[0], np.cumsum(counts)])
+    pick = np.repeat(begins - gram_first[:-1], counts) + np.arange(gram_first[-1])
+    return Tokens(
+        np.concatenate([t.places for t in parts])[at],
+        np.concatenate([t.gram_places for t in parts])[pick],
+        gram_first,
+        np.concatenate([same[t.words + w] for t, w in zip(parts, words_before, strict=False)]).astype(np.int32),
+        np.concatenate([[0], *(t.first[1:] + r for t, r in zip(parts, running_before, strict=False))]),
+        ids,
+    )
 
 
 def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +119,7 @@ class Network:
         count = np.diff(t.gram_first)[words]
         first = np.concatenate([[0], np.cumsum(count)])
         at = np.repeat(t.gram_first[:-1][words] - first[:-1], count) + np.arange(first[-1])
-        return Tokens(t.places[words], t.gram_places[at], first, np.zeros(0, np.int32), np.zeros(1, np.int64))
+        return Tokens(t.places[words], t.gram_places[at], first, np.zeros(0, np.int32), np.zeros(1, np.int64), t.ids[words])
 
     def vectors(self, t: Tokens) -> np.ndarray:
         """The distinct words' inputs."""
@@ -242,8 +264,7 @@ def train(texts: list[str], labels: list[int], *, rounds: int = 4, batch: int =
         net.scale, share = 0.0, float(toxic.mean()) if len(toxic) else 0.0
         net.offset = float(np.log(max(share, 1e-9)) - np.log(max(1 - share, 1e-9)))
         return net
-    data, offsets = grams.texts(pa.array(texts, pa.large_string()))
-    t = tokenise(data, offsets)
+    t = tokenise_all(pa.array(texts, pa.large_string()))
     held = rng.random(len(toxic)) < 0.2
     odds, known = _telling(t, toxic)
     start, length, text = windows_of(t.first)
