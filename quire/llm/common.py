@@ -72,6 +72,17 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], added: T.St
     return df.mapInArrow(run, schema)
 
 
+def hide(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns named so that no operator's result takes their place, and the new name of each."""
+    names = {c: f"_c{k}" for k, c in enumerate(df.columns)}
+    return df.select([F.col(f"`{c}`").alias(new) for c, new in names.items()]), names
+
+
+def unhide(df: DataFrame, names: dict[str, str], replaced: dict[str, str] | None = None) -> DataFrame:
+    """The columns under their old names, in their old order; replaced gives other columns for some."""
+    return df.select([F.col((replaced or {}).get(c, new)).alias(c) for c, new in names.items()])
+
+
 def text_only(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id and the text, whatever else the table holds."""
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from quire.llm import grams
 from quire.llm.cells import Symbols, repeated_windows, with_starts
-from quire.llm.common import map_batches, text_only
+from quire.llm.common import hide, map_batches, text_only, unhide
 
 WINDOW = 400
 
@@ -62,9 +62,7 @@ def find_repeated(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_i
 
 def remove_repeated(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes cut out of their texts; columns stay as they are. Null texts stay null."""
-    names = docs.columns
-    hidden = docs.select([F.col(c).alias(f"_c{k}") for k, c in enumerate(names)])
-    at = {c: f"_c{k}" for k, c in enumerate(names)}
+    hidden, at = hide(docs)
     found = find_repeated(hidden, window=window, id_col=at[id_col], text_col=at[text_col])
 
     def decode(batch: pa.RecordBatch) -> dict:
@@ -72,8 +70,7 @@ def remove_repeated(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc
         text = batch.column(batch.schema.get_field_index(at[text_col]))
         return {"cut": [bytes(k.as_py()).decode(errors="ignore") if n.as_py() else t.as_py() for k, n, t in zip(kept, count, text, strict=True)]}
 
-    cut_text = map_batches(found, decode, T.StructType([T.StructField("cut", T.StringType())]))
-    return cut_text.select([F.col("cut" if c == text_col else f"_c{k}").alias(c) for k, c in enumerate(names)])
+    return unhide(map_batches(found, decode, T.StructType([T.StructField("cut", T.StringType())])), at, {text_col: "cut"})
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

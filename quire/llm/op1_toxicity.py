@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import grams
-from quire.llm.common import map_batches, small_batches, text_only
+from quire.llm.common import hide, map_batches, small_batches, text_only, unhide
 
 U = np.uint64
 PER_CLASS = 1200
@@ -337,6 +337,12 @@ def score(docs: DataFrame, net: Network, *, text_col: str = "text") -> DataFrame
     return map_batches(docs, run, T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
+def drop_toxic(docs: DataFrame, net: Network, *, text_col: str = "text") -> DataFrame:
+    """docs without those predicted toxic. Columns stay as they are."""
+    hidden, names = hide(docs)
+    return unhide(score(hidden, net, text_col=names[text_col]).where("predicted = 0"), names)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     net = fit(docs, labels)

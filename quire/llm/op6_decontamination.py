@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import grams
-from quire.llm.common import map_batches, new_dir, text_only
+from quire.llm.common import hide, map_batches, new_dir, text_only, unhide
 
 BROADCAST_BYTES = 32 << 20
 
@@ -145,23 +145,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     """docs without contaminated documents, or with their hit words cut out (remove="spans"). Columns stay as they are."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove}")
-    names = docs.columns
-    found = find_contamination(docs, benchmark, n=n, text_col=text_col)
+    hidden, names = hide(docs)
+    own_text = names[text_col]
+    found = find_contamination(hidden, benchmark, n=n, text_col=own_text)
     if remove == "documents":
-        return found.where(F.col("n_hit") == 0).select(*names)
+        return unhide(found.where(F.col("n_hit") == 0), names)
 
     def cut_spans(batch: pa.RecordBatch) -> dict:
         out = []
-        column = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+        column = batch.column(batch.schema.get_field_index(own_text)).to_pylist()
         for text, spans in zip(column, batch.column(batch.schema.get_field_index("hit_spans")).to_pylist(), strict=True):
             raw, kept, at = (text or "").encode(), [], 0
             for s in spans or ():
                 kept.append(raw[at : s["start"]])
                 at = s["end"]
             out.append(None if text is None else b"".join([*kept, raw[at:]]).decode())
-        return {text_col: out}
+        return {"cut": out}
 
-    return map_batches(found, cut_spans, T.StructType([T.StructField(text_col, T.StringType())])).select(*names)
+    return unhide(map_batches(found, cut_spans, T.StructType([T.StructField("cut", T.StringType())])), names, {text_col: "cut"})
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
