@@ -120,7 +120,7 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, *, earlier: bool, id_col
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("_text"))
     id_type = texts.schema["id"].dataType.simpleString()
     window, gram = symbols.window, symbols.gram
 
@@ -135,16 +135,18 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, *, earlier: bool, id_col
                 )
 
     cells = cut(texts.mapInArrow(scan, f"id {id_type}, row_key long, s int, n int, anchor long, kind long, tie boolean"))
-    live = cells.groupBy("anchor").agg(F.count("*").alias("k"), F.bool_or("tie").alias("tie")).where((F.col("k") > 1) | F.col("tie")).select("anchor")
+    # aggregates are materialised before they are joined back: a join with an aggregate that lies on the same
+    # partitioning cannot be split where one anchor or class holds a large part of the rows
+    live = cut(cells.groupBy("anchor").agg(F.count("*").alias("k"), F.bool_or("tie").alias("tie")).where((F.col("k") > 1) | F.col("tie")).select("anchor"))
     found = cut(cells.join(live, "anchor", "left_semi"))
-    classes = found.groupBy("anchor", "kind").agg(F.count("*").alias("k"), F.min("id").alias("least"), F.bool_or("tie").alias("tie"), F.min(F.struct("id", "row_key", "s", "n")).alias("member"))
+    classes = cut(found.groupBy("anchor", "kind").agg(F.count("*").alias("k"), F.min("id").alias("least"), F.bool_or("tie").alias("tie"), F.min(F.struct("id", "row_key", "s", "n")).alias("member")))
     if earlier:
         apart = (F.col("low") < F.col("high")) | ((F.col("known") > 0) & (F.col("known") < F.col("classes")))
         open_ = F.lit(True)
     else:
         apart = (F.col("least_k") == 1) & ((F.col("classes") > 1) | F.col("tie"))
         open_ = F.col("k") == 1
-    anchors = (
+    anchors = cut(
         classes.groupBy("anchor")
         .agg(F.count("*").alias("classes"), F.min("k").alias("least_k"), F.min("least").alias("low"), F.max("least").alias("high"), F.count("least").alias("known"), F.bool_or("tie").alias("tie"))
         .where(apart)
@@ -166,7 +168,7 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, *, earlier: bool, id_col
                 yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("kind"), flat.field("least"), flat.field("blocks"), flat.field("open"), pa.array(parts, pa.binary())], names=["anchor", "kind", "least", "blocks", "open", "symbols"])
 
     joined = texts.join(wanted.withColumnsRenamed({"id": "wid", "row_key": "wkey"}), F.col("id").eqNullSafe(F.col("wid")) & (F.col("row_key") == F.col("wkey")))
-    members = joined.select("text", "cells").mapInArrow(expand, f"anchor long, kind long, least {id_type}, blocks int, open boolean, symbols binary")
+    members = joined.select("_text", "cells").mapInArrow(expand, f"anchor long, kind long, least {id_type}, blocks int, open boolean, symbols binary")
     own = F.pmod(F.xxhash64("kind"), F.col("blocks")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j)))
     dealt = members.withColumn("pair", pair).select(F.xxhash64("anchor", "pair").alias("at"), "kind", "least", "open", "symbols")
@@ -226,6 +228,10 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, *, earlier: bool, id_col
 
 def with_starts(docs: DataFrame, starts: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """docs with the runs of their repeated windows' starts in _starts; null where there are none."""
-    left = docs.withColumn("_row_key", row_key(id_col, text_col))
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    # the same expressions in the same order as above, so that one exchange of the texts serves both joins
+    left = docs.select(F.col(id_col).alias("_left_id"), row_key(id_col, text_col).alias("_left_key"), F.col(text_col).cast("string").alias("_left_text"), *rest)
     right = starts.withColumnsRenamed({"id": "_right_id", "row_key": "_right_key", "starts": "_starts"})
-    return left.join(right, F.col(id_col).eqNullSafe(F.col("_right_id")) & (F.col("_row_key") == F.col("_right_key")), "left").drop("_row_key", "_right_id", "_right_key")
+    joined = left.join(right, F.col("_left_id").eqNullSafe(F.col("_right_id")) & (F.col("_left_key") == F.col("_right_key")), "left")
+    back = {id_col: "_left_id", text_col: "_left_text"}
+    return joined.select(*[F.col(back.get(c, c)).alias(c) for c in docs.columns], "_starts")
