@@ -9,7 +9,7 @@ from quire.functions import text as X
 from quire.plans.registry import query
 from quire.sources.adapters import PARAGRAPH, paragraphs, table
 
-#: A heading's first characters; the reference tables hold none of these, so queries give a pattern of their own.
+#: A heading's first characters; the test tables hold none of these, so queries give a pattern of their own.
 SECTION_MARKERS = "^[□■]"
 HEADINGS, HEADING_CHARS, TITLE_CHARS, EXCERPT = 20, 40, 60, 1200
 
