@@ -24,14 +24,16 @@ PARAGRAPH = """paragraph AS (
   SELECT doc_id, 0::BIGINT AS section, (i - 1)::BIGINT AS block, t AS text, NOT contains(t, '|') AS simple, i::BIGINT AS node_id
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"""
 
+#: What orders an order's lines: all columns, for line numbers are not unique.
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 #: Columns of an order's table, and how a line gives them.
 CELL_COLUMNS = ("quantity", "price", "discount", "flag", "status")
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, row, col, row_span, col_span, active, shade, text). Large quantities span two columns; returned lines are shaded."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    line = table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     money = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
     rows = line.select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(order).cast("long").alias("row"), (F.col("l_quantity") > 45).alias("wide"), F.when(F.col("l_returnflag") == "R", "#D9D9D9").alias("shade"), F.array(money("l_quantity"), money("l_extendedprice"), money("l_discount"), "l_returnflag", "l_linestatus").alias("texts"))
     head = rows.groupBy("doc_id").agg(F.lit(0).cast("long").alias("row")).select("doc_id", "row", F.lit(False).alias("wide"), F.lit("#EEEEEE").alias("shade"), F.array(*map(F.lit, CELL_COLUMNS)).alias("texts"))
@@ -49,7 +51,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CELL = """line AS (
-  SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS row,
+  SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS row,
          l_quantity > 45 AS wide, CASE WHEN l_returnflag = 'R' THEN '#D9D9D9' END AS shade,
          [l_quantity::DECIMAL(18,2)::VARCHAR, l_extendedprice::DECIMAL(18,2)::VARCHAR, l_discount::DECIMAL(18,2)::VARCHAR, l_returnflag, l_linestatus] AS texts
   FROM lineitem),
@@ -63,7 +65,7 @@ cell AS (
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page, box, x, y, w, h): lines as placed boxes, eight pages to a thousand orders."""
     line = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    order = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     return line.withColumn("n", F.row_number().over(order)).select(
         (F.col("l_orderkey") % 997).alias("page"),
         (F.col("l_orderkey") * 100 + F.col("n")).cast("long").alias("box"),
@@ -75,7 +77,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOX = """box AS (
-  SELECT l_orderkey % 997 AS page, (l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity))::BIGINT AS box,
+  SELECT l_orderkey % 997 AS page, (l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate))::BIGINT AS box,
          (l_partkey % 500)::DOUBLE AS x, (l_suppkey * 7 % 800)::DOUBLE AS y, l_quantity * 4 AS w, l_quantity + l_linenumber AS h
   FROM lineitem)"""
 
