@@ -23,8 +23,8 @@ def duck(sf_dir):
 def plain(value):
     if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return "NULL"
-    if isinstance(value, (float, np.floating)):
-        return repr(float(value))
+    if isinstance(value, (float, np.floating)):  # integers with nulls come as floats from one side
+        return str(int(value)) if float(value).is_integer() else repr(float(value))
     return repr(list(value)) if isinstance(value, (list, np.ndarray)) else str(value)
 
 
