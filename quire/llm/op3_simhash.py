@@ -19,7 +19,6 @@ but no component; an empty table gives an empty result; other columns are not re
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,15 +35,12 @@ from quire.llm.components import components
 BLOCK = 2048
 
 
-def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, k: int, sketches: list | None = None) -> np.ndarray:
-    """The 64-bit SimHash of each text. sketches gets an array of the texts' sketches: eight bytes, each of the least hash in an eighth of the range."""
+def _shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each shingle of all texts, one text after another, and how many each text has."""
     data = grams.LOWER[raw]
     starts, ends, first = grams.words(data, offsets, grams.SPACED)
-    out = np.zeros(len(offsets) - 1, np.uint64)
-    if sketches is not None:
-        sketches.append(np.zeros(len(out), np.uint64))
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     solid = grams.SPACED[data]
     keep = solid.copy()
     keep[ends[ends < len(data)]] = True  # one separator after each word, which becomes a space
@@ -58,8 +54,25 @@ def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, k: int, sketches: list
     last = np.minimum(begin + k, np.repeat(first[1:], shingles)) - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(text[x:y], 42) for x, y in zip(a[begin].tolist(), b[last].tolist(), strict=True)), np.uint64, len(begin))
+    return hashes, shingles
+
+
+def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, k: int, sketches: list | None = None, digests: list | None = None) -> np.ndarray:
+    """The 64-bit SimHash of each text. sketches gets an array of the texts' sketches: eight bytes, each of the least hash in an eighth of the range.
+
+    digests gets an array of 64-bit digests of the texts' shingles, in any order.
+    """
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    for asked in (sketches, digests):
+        if asked is not None:
+            asked.append(np.zeros(len(out), np.uint64))
+    hashes, shingles = _shingles(raw, offsets, k)
+    if not len(hashes):
+        return out
     some = np.flatnonzero(shingles)
     edges = np.concatenate([[0], np.cumsum(shingles[some])])
+    if digests is not None:
+        digests[-1][some] = np.add.reduceat(grams.mix(hashes + np.uint64(1)), edges[:-1])
     if sketches is not None:
         mixed = grams.mix(hashes)
         for part in range(8):
@@ -235,16 +248,14 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 4, radius: int = 4,
     return marked.join(named, by, "left").select(id_col, "fingerprint", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8, segments: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8, segments: int = 5, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies: the one with the least id. Rows with a null id stay.
 
-    Two shingle sets of Jaccard similarity J have cosine 2J / (1 + J), and fingerprints differ in acos(cosine) / pi of
-    their bits; the radius is the distance expected at the given similarity (9 bits at 0.8). Three of the eight bytes
-    of two sketches must agree besides: unlike texts have that by chance once in 300,000 pairs.
+    Groups are the components of all pairs whose shingle sets have a Jaccard similarity of `similarity` or more; see quire.llm.jaccard.
     """
-    radius = int(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    found = near_duplicates(docs, shingle_words=shingle_words, radius=radius, segments=segments, least=3, id_col=id_col, text_col=text_col)
-    known = cut(found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("_n"), F.min("component_id").alias("_component")))
+    from quire.llm import jaccard
+
+    known = cut(jaccard.groups(docs, shingle_words=shingle_words, similarity=similarity, segments=segments, block=block, id_col=id_col, text_col=text_col))
     stays = known.where(F.col("_component") == F.col(id_col)).select(id_col)
     kept = docs.join(stays, id_col, "left_semi").select(*docs.columns)
     if known.where("_n > 1").limit(1).count():

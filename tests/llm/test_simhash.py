@@ -91,3 +91,30 @@ def test_keep_one_of_near_copies(spark):
     kept = op.keep_one(df)
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, i) for i in range(12)] + [(False, 300), (True, 0)]
+
+
+def test_keep_one_links_all_pairs_of_the_similarity(spark):
+    import random
+
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(40)]
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(30, 200))]
+        texts.append(base)
+        for _ in range(3):
+            own = list(base)
+            for _ in range(rng.randrange(1, 2 + len(own) // 35)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            texts.append(own)
+    texts = [" ".join(t + common if rng.random() < 0.5 else t) for t in texts]
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    alike = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    label = np.arange(len(texts))
+    while not (label == (new := np.array([label[row].min() for row in alike]))).all():
+        label = new
+    assert alike.sum() > len(texts) + 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (16, 2048):
+        assert {r["doc_id"] for r in op.keep_one(df, block=block).collect()} == set(label.tolist())
