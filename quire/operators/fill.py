@@ -83,7 +83,8 @@ def roster_rows(blocks: Column) -> Column:
 
 def file_name(pattern: str, index: Column, values: Column | None = None, keys: tuple[str, ...] = ()) -> Column:
     """A name from {index:03d}, {index} and {key}; characters that paths cannot hold become _."""
-    out = F.replace(F.replace(F.lit(pattern), F.lit("{index:03d}"), F.lpad(index.cast("string"), 3, "0")), F.lit("{index}"), index.cast("string"))
+    number = index.cast("string")
+    out = F.replace(F.replace(F.lit(pattern), F.lit("{index:03d}"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0"))), F.lit("{index}"), number)
     for k in keys:
         out = F.replace(out, F.lit(f"{{{k}}}"), F.coalesce(F.element_at(values, k), F.lit("")))
     return F.translate(out, '/\\:*?"<>|\n', "_" * 10)
@@ -148,7 +149,7 @@ def field_format_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, lpad(c_custkey::VARCHAR, 3, '0')[-3:] AS tail, 'form_' || CASE WHEN c_custkey < 1000 THEN lpad(c_custkey::VARCHAR, 3, '0') ELSE c_custkey::VARCHAR END || '_' || c_mktsegment || '_.hwpx' AS file FROM customer WHERE c_custkey < 1000")
 def fill_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey < 1000")
+    c = table(spark, sf_dir, "customer")
     values = F.create_map(F.lit("seg"), F.concat("c_mktsegment", F.lit("/")))
     return c.select("c_custkey", F.right(F.lpad(F.col("c_custkey").cast("string"), 3, "0"), F.lit(3)).alias("tail"), file_name("form_{index:03d}_{seg}.hwpx", F.col("c_custkey"), values, ("seg",)).alias("file"))
 
