@@ -26,3 +26,9 @@ def test_file_names_of_all_customers(spark):
 def test_file_names_do_not_cut_numbers(spark):
     got = spark.range(998, 1012).select(file_name("form_{index:03d}_{index}", F.col("id")).alias("f")).collect()
     assert [r["f"] for r in got] == [f"form_{i:03d}_{i}" for i in range(998, 1012)]
+
+
+def test_rectangles_of_all_probes(spark, sf_dir):
+    got = registry.QUERIES["blocks_in_rect"](spark, sf_dir).toPandas()
+    assert (got.rect % 5 != 0).any()
+    assert rows(got) == whole(sf_dir, "blocks_in_rect", ["events", "orders", "lineitem", "documents", "customer"], " WHERE probe % 5 = 0")
