@@ -125,7 +125,7 @@ c AS (SELECT *, least(greatest(10 - pos, 0), length(text)) AS a FROM r), d AS (S
 p AS (SELECT doc_id, block, run, 0 AS part, substr(text, 1, a::INT) AS text, false AS inside FROM d UNION ALL SELECT doc_id, block, run, 1, substr(text, a::INT + 1, (b - a)::INT), true FROM d UNION ALL SELECT doc_id, block, run, 2, substr(text, b::INT + 1), false FROM d)
 SELECT * FROM p WHERE text <> ''""")
 def run_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = paragraphs(spark, sf_dir).where("block < 3").select("doc_id", "block", F.posexplode(F.split("text", " ")).alias("run", "text")).withColumn("run", F.col("run").cast("long"))
+    runs = paragraphs(spark, sf_dir).select("doc_id", "block", F.posexplode(F.split("text", " ")).alias("run", "text")).withColumn("run", F.col("run").cast("long"))
     return split_runs(runs.withColumn("a", F.lit(10)).withColumn("b", F.lit(25)), "a", "b")
 
 

@@ -32,3 +32,9 @@ def test_rectangles_of_all_probes(spark, sf_dir):
     got = registry.QUERIES["blocks_in_rect"](spark, sf_dir).toPandas()
     assert (got.rect % 5 != 0).any()
     assert rows(got) == whole(sf_dir, "blocks_in_rect", ["events", "orders", "lineitem", "documents", "customer"], " WHERE probe % 5 = 0")
+
+
+def test_runs_of_all_paragraphs(spark, sf_dir):
+    got = registry.QUERIES["run_split"](spark, sf_dir).toPandas()
+    assert (got.block >= 3).any()
+    assert rows(got) == whole(sf_dir, "run_split", ["documents"], " WHERE block < 3")
