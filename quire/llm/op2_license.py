@@ -25,7 +25,7 @@ BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache",
 
 NUMBER = "(?:version |v(?:er)? ?)?"
 
-#: keyword | label | priority | relevance | expression over words. V stands for an optional word for "version".
+#: keyword, which all that the expression matches must hold | label | priority | relevance | expression over words. V stands for an optional word for "version".
 SIGNATURES = r"""
 gnu general public license | gpl | 2 | 70 | (?:the )?gnu general public license
 gnu general public license | gpl-1.0 | 3 | 90 | gnu general public license V1(?: 0)?
@@ -85,7 +85,8 @@ apache | apache-2.0 | 3 | 90 | apache (?:software )?licen[sc]e V2(?: 0)?
 apache | apache-2.0 | 4 | 100 | licensed under the apache license version 2 0(?: the license)?
 apache | apache-2.0 | 3 | 95 | (?:https? )?(?:www )?apache org licenses license 2 0(?: txt| html)?
 apache | apache-2.0 | 3 | 80 | apache V2 0
-apache | apache-2.0 | 3 | 85 | asl 2 0|apachev2
+asl 2 0 | apache-2.0 | 3 | 85 | asl 2 0
+apache | apache-2.0 | 3 | 85 | apachev2
 apache | apache-2.0-llvm | 4 | 95 | apache (?:license )?V?2 0 with llvm exceptions?
 apache | apache | 1 | 40 | licensed to the apache software foundation asf under one or more contributor license agreements
 mit | mit | 2 | 70 | (?:the )?mit licen[sc]e
@@ -98,7 +99,7 @@ permission is hereby granted | mit | 4 | 100 | permission is hereby granted free
 permission is hereby granted | bsl-1.0 | 4 | 100 | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
 permission is hereby granted | icu | 4 | 95 | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute and or sell copies
 permission is hereby granted | ofl | 4 | 95 | permission is hereby granted free of charge to any person obtaining a copy of the font software
-permission is hereby granted | postgresql | 3 | 70 | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+permission to use | postgresql | 3 | 70 | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
 permission to use | isc | 4 | 100 | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 permission to use | isc | 4 | 95 | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted
 permission to use | postgresql | 4 | 100 | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
@@ -115,9 +116,9 @@ bsd | 0bsd | 3 | 90 | (?:bsd )?zero clause bsd(?: licen[sc]e)?|bsd zero clause(?
 bsd | bsd-2-clause-patent | 4 | 95 | bsd 2 clause plus patent(?: license)?|bsd 2 clause patent
 bsd | bsd-3-clause-clear | 4 | 95 | bsd 3 clause clear(?: license)?|clear bsd(?: license)?
 redistribution and use | bsd | 3 | 85 | redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
-redistribution and use | bsd | 1 | 40 | redistributions (?:of source code|in binary form) must (?:retain|reproduce) the above copyright notice
-redistribution and use | bsd-3-clause | 4 | 95 | neither the name of (?:the )?(?:[^ ]+ ){1,8}nor the names of its contributors may be used to endorse or promote products derived from this software
-redistribution and use | bsd-4-clause | 4 | 95 | all advertising materials mentioning features or use of this software must display the following acknowledg?e?ment
+redistributions | bsd | 1 | 40 | redistributions (?:of source code|in binary form) must (?:retain|reproduce) the above copyright notice
+endorse or promote products | bsd-3-clause | 4 | 95 | neither the name of (?:the )?(?:[^ ]+ ){1,8}nor the names of its contributors may be used to endorse or promote products derived from this software
+all advertising materials | bsd-4-clause | 4 | 95 | all advertising materials mentioning features or use of this software must display the following acknowledg?e?ment
 mozilla | mpl | 2 | 75 | mozilla public licen[sc]e
 mozilla | mpl-1.0 | 3 | 90 | mozilla public licen[sc]e V1(?: 0)?
 mozilla | mpl-1.1 | 3 | 90 | mozilla public licen[sc]e V1 1
@@ -147,7 +148,8 @@ ibm public license | ipl-1.0 | 2 | 75 | ibm public license(?: V1 0)?
 artistic license | artistic | 2 | 70 | artistic license
 artistic license | artistic-1.0 | 3 | 90 | artistic license V1(?: 0)?
 artistic license | artistic-2.0 | 3 | 90 | artistic license V2(?: 0)?
-artistic license | artistic-1.0-perl | 3 | 85 | same terms as perl itself|artistic license (?:and|or) (?:the )?gnu general public license
+same terms as perl itself | artistic-1.0-perl | 3 | 85 | same terms as perl itself
+artistic license | artistic-1.0-perl | 3 | 85 | artistic license (?:and|or) (?:the )?gnu general public license
 boost software license | bsl-1.0 | 2 | 80 | boost software license
 boost software license | bsl-1.0 | 3 | 95 | boost software license V1 0
 business source license | busl-1.1 | 3 | 90 | business source license(?: V1 1)?
@@ -164,8 +166,9 @@ public domain | cc-pdm-1.0 | 3 | 90 | (?:creative commons )?public domain mark(?
 public domain | odc-pddl-1.0 | 3 | 90 | public domain dedication and license(?: V?1 0)?
 what the fuck | wtfpl | 3 | 90 | do what the fuck you want to(?: public license)?
 wtfpl | wtfpl | 3 | 85 | wtfpl(?: V2)?
-isc license | isc | 2 | 75 | (?:the )?isc licen[sc]e
-beerware | beerware | 3 | 80 | beer ?ware(?: license)?
+isc licen | isc | 2 | 75 | (?:the )?isc licen[sc]e
+beerware | beerware | 3 | 80 | beerware(?: license)?
+beer ware | beerware | 3 | 80 | beer ware(?: license)?
 beer ware | beerware | 3 | 80 | the beer ware license
 sil open font | ofl | 2 | 80 | sil open font licen[sc]e
 sil open font | ofl-1.0 | 3 | 90 | sil open font licen[sc]e V1 0
@@ -222,12 +225,13 @@ llama | llama-2 | 3 | 80 | llama 2 community license(?: agreement)?
 llama | llama-3 | 3 | 80 | llama 3(?: [123])? community license(?: agreement)?
 free art license | fal-1.3 | 2 | 80 | free art license(?: V?1 3)?
 licence art libre | fal-1.3 | 2 | 80 | licence art libre(?: V?1 3)?
-vim license | vim | 2 | 75 | vim licen[sc]e
-tcl license | tcl | 2 | 70 | tcl(?: tk)? license
+vim licen | vim | 2 | 75 | vim licen[sc]e
+tcl | tcl | 2 | 70 | tcl(?: tk)? license
 curl license | curl | 2 | 75 | curl license
 libpng | libpng | 2 | 70 | libpng license(?: V?2)?
 freetype | ftl | 2 | 80 | freetype (?:project )?license
-ijg | ijg | 2 | 65 | ijg license|independent jpeg group(?: s)? license
+ijg | ijg | 2 | 65 | ijg license
+independent jpeg group | ijg | 2 | 65 | independent jpeg group(?: s)? license
 bzip2 | bzip2 | 2 | 75 | bzip2(?: and libbzip2)? license
 blue oak | blueoak-1.0.0 | 2 | 85 | blue oak model license(?: 1 0 0)?
 parity | parity-7.0.0 | 2 | 75 | parity public license(?: 7 0 0)?
@@ -251,7 +255,7 @@ unauthorized copying | proprietary | 2 | 70 | unauthorized copying of this file
 dual licensed | dual | 1 | 40 | dual licensed(?: under)?
 see the license file | unknown-reference | 1 | 30 | see the license file(?: for details)?
 license file | unknown-reference | 1 | 30 | (?:found|described|given) in the license file
-license | unknown-notice | 1 | 20 | (?:licensed|released|distributed) under (?:the|a|an) [^ ]+ licen[sc]e
+licen | unknown-notice | 1 | 20 | (?:licensed|released|distributed) under (?:the|a|an) [^ ]+ licen[sc]e
 """
 
 #: Creative Commons conditions, each with every published version and as words, as an address and as a short name.

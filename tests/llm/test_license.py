@@ -1,4 +1,5 @@
 import re
+from dataclasses import replace
 
 from quire.llm import op2_license as op
 
@@ -62,3 +63,21 @@ def test_rules_are_well_formed():
 
 def test_no_python_in_the_plan(spark, sf_dir):
     assert not re.search("Python|Pandas|Arrow", op.op2_license(spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
+
+
+def ungated(text):
+    return brute(text, [replace(r, keyword="") for r in op.signatures()])
+
+
+def test_keywords_drop_no_finds(spark, sf_dir):
+    texts = [
+        "same terms as Perl itself", "Independent JPEG Group license", "ASL 2.0", "ApacheV2", "Redistributions of source code must retain the above copyright notice",
+        "Neither the name of the FreeBSD Foundation nor the names of its contributors may be used to endorse or promote products derived from this software",
+        "All advertising materials mentioning features or use of this software must display the following acknowledgement", "released under the X licence",
+        "the ISC licence", "Vim licence", "Tcl/Tk license", "beer-ware license",
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + 1000000 as doc_id", "text"))
+    for r in op.scan(docs).collect():
+        assert tuple(r[c] for c in COLUMNS) == ungated(r["text"]), r["text"]
+        assert r["doc_id"] >= 1000000 or r["labels"]
