@@ -57,11 +57,16 @@ def _repeated(words: Column) -> Column:
     """How many words stand in a three-word window that the text has twice or more."""
 
     def of_windows(windows: Column) -> Column:
-        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(_let(F.sort_array(windows), lambda ordered: of_ordered(windows, ordered)))
+        placed = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(_let(placed, of_placed))
 
-    def of_ordered(windows: Column, ordered: Column) -> Column:
-        twice = F.array_distinct(F.filter(ordered, lambda x, i: (i > 0) & (x == F.get(ordered, i - 1))))
-        return _let(twice, lambda t: covered(F.filter(F.sequence(F.lit(0), F.size(windows) - 1), lambda i: F.array_contains(t, F.get(windows, i)))))
+    def of_placed(placed: Column) -> Column:
+        """placed: windows in the order of their hashes; equal ones are neighbours, so one sort finds them all."""
+
+        def same(x: Column, k: Column) -> Column:
+            return F.coalesce(F.get(placed, k)["h"] == x["h"], F.lit(False))
+
+        return covered(F.sort_array(F.transform(F.filter(placed, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])))
 
     def covered(at: Column) -> Column:
         start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
@@ -205,9 +210,9 @@ def verdict(rules: list[Rule]) -> Column:
     """Whether a text is kept, as one ordered conditional expression."""
     if not rules:
         return F.lit(True)
-    out = None
-    for rule in rules:
-        out = (out or F).when(F.expr(rule.sql()), False)
+    out = F.when(F.expr(rules[0].sql()), False)
+    for rule in rules[1:]:
+        out = out.when(F.expr(rule.sql()), False)
     return out.otherwise(True)
 
 

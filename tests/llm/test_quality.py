@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from quire.llm import op9_quality as op
 
 
@@ -47,6 +49,37 @@ def test_learner_finds_a_planted_rule():
     assert op.learn([]) == [] and op.learn([r for r in rows if r["label"] == 1]) == []
 
 
+def test_a_list_of_several_rules_decides_in_spark_as_in_python(spark):
+    """Three planted causes, each needs a rule of its own; every text's verdict is that of the first rule that holds."""
+    plain = [f"w{i}" for i in range(60)]
+    made = {0: lambda: plain, 1: lambda: [f"#{i}" for i in range(60)], 2: lambda: [f"W{i}" for i in range(60)], 3: lambda: [f"!{i}" for i in range(60)]}
+    docs = spark.createDataFrame([(i, " ".join([f"t{i}", *made[i % 8 if i % 8 < 4 else 0]()])) for i in range(480)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 8 in (0, 4, 5, 6, 7))) for i in range(480)], "doc_id long, quality int")
+    rows = op.labelled_rows(docs, labels)
+    rules = op.learn(rows)
+    assert len(rules) >= 3
+    got = {r["doc_id"]: r["kept"] for r in op.judge(docs, rules).collect()}
+    for r in rows:
+        first = next((False for rule in rules if rule.holds(r)), True)
+        assert got[r["doc_id"]] == first == (r["label"] == 1)
+    assert len({next(k for k, rule in enumerate(rules) if rule.holds(r)) for r in rows if not got[r["doc_id"]]}) >= 3
+
+
+def test_learned_verdicts_of_a_whole_table(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rules = op.learn(op.labelled_rows(docs, labels))
+    features = [F.expr(sql).cast("double").alias(f) for f, sql in op.FEATURES.items()]
+    got = {r["doc_id"]: r["kept"] for r in op.op9_quality(spark, sf_dir).collect()}
+    for r in op.with_statistics(docs).select("doc_id", op.base_failed().alias("failed"), *features).collect():
+        assert got[r["doc_id"]] == (not r["failed"] and not any(rule.holds(r.asDict()) for rule in rules))
+
+
+def test_a_million_words_with_many_repeats(spark):
+    text = " ".join(f"a{i % 400000}" for i in range(1000000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert op.with_statistics(df).first()["n_repeat_words"] == 1000000
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = op.op9_quality(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
