@@ -6,9 +6,10 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -18,12 +19,14 @@ BATCH_ROWS = 400
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master (tests) may do without it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "quire-shared")
         os.makedirs(found.removeprefix("file://"), exist_ok=True)
     return found
@@ -33,6 +36,57 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Session settings for what is computed within the block; put back afterwards. Dots are written as __."""
+    before = {k: spark.conf.get(k.replace("__", ".")) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k.replace("__", "."), v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k.replace("__", "."), v)
+
+
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows, for narrow tables."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows))
+
+
+class Scratch:
+    """Tables in the shared folder for the steps of one job. They survive lost executors, and go when the block ends.
+
+    What outlives the block must be cut() inside it. Within the block each step's shuffle files go when the step has
+    ended, and Arrow batches have at most `rows` rows; both settings are put back afterwards.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, rows: int = BATCH_ROWS):
+        self.spark, self.at, self.held = spark, new_dir(spark, name), []
+        self.conf = settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch=str(rows))
+
+    def __enter__(self) -> Scratch:
+        self.conf.__enter__()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.conf.__exit__(None, None, None)
+        remove(self.spark, self.at)
+
+    def table(self, df: DataFrame, *, instead: DataFrame | None = None) -> DataFrame:
+        """df, written and read again; instead is a table of this folder that it takes the place of, which goes."""
+        at = f"{self.at}/{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(at)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        self.held = [(t, a) for t, a in self.held if t is not instead or remove(self.spark, a)] + [(out, at)]
+        return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises df in the shared folder, so that lost executors cost no recomputation and no second evaluation differs."""
     sc = df.sparkSession.sparkContext
@@ -42,6 +96,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts from here on. It stays so: plans over texts are lazy and run with what is set then."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -83,6 +138,11 @@ def unhide(df: DataFrame, names: dict[str, str], replaced: dict[str, str] | None
     return df.select([F.col((replaced or {}).get(c, new)).alias(c) for c, new in names.items()])
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows of one id apart; rows of the same id and text share it."""
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+
+
 def text_only(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id and the text, whatever else the table holds."""
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))

@@ -1,12 +1,14 @@
 """Words, n-gram identifiers and window minima of many texts at once, in numpy.
 
 A batch of texts is one byte array with offsets. Identifiers are 64-bit: a polynomial over bytes or word
-identifiers, read off a prefix sum modulo 2**64, then mixed. Callers that need certainty verify hits.
+identifiers, read off a prefix sum modulo 2**64, then mixed. Equal entries have equal identifiers; unequal ones may too,
+and some texts are built to, so identifiers only sieve: what decides is the bytes, or their digest.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,8 +68,9 @@ def byte_values() -> np.ndarray:
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and n+1 offsets of a column of strings; null counts as empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """Bytes and n+1 offsets of a column of strings or bytes; null counts as empty."""
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = pc.fill_null(column.cast(pa.large_binary() if binary else pa.large_string()), b"" if binary else "")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and len(raw) else np.zeros(0, np.uint8)
@@ -100,6 +103,17 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts with one space between, their starts and ends in that, and the n+1 offsets of each text's words."""
+    starts, ends, first = words(data, offsets, SPACED)
+    keep = SPACED[data]
+    solid = keep.copy()
+    keep[ends[ends < len(data)]] = True  # one separator after each word, which becomes a space
+    at = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(keep, out=at[1:])
+    return np.where(solid, data, np.uint8(32))[keep], at[starts], at[ends - 1] + 1 if len(ends) else at[:0], first
+
+
 def prefix(values: np.ndarray, base: int) -> np.ndarray:
     out = np.zeros(len(values) + 1, U)
     np.cumsum(values * powers(base, len(values))[0][: len(values)], out=out[1:])
@@ -138,6 +152,39 @@ def window_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each `width` consecutive values stands, the leftmost of equals."""
+    if len(values) < width:
+        return np.zeros(0, np.int64)
+    out, have = np.arange(len(values), dtype=np.int64), 1
+    while have < width:
+        step = min(have, width - have)
+        a, b = out[:-step], out[step:]
+        out = np.where(values[b] < values[a], b, a)
+        have += step
+    return out
+
+
+def inside(first: np.ndarray, window: int) -> np.ndarray:
+    """Which windows of consecutive entries lie in one text; first: the n+1 offsets of the texts in the entries."""
+    n = int(first[-1])
+    room = np.repeat(first[1:], np.diff(first)) - np.arange(n)
+    return room[: max(0, n - window + 1)] >= window
+
+
+def runs_of(change: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last entries of runs of valid entries that no change parts."""
+    begins, ends = valid & change, valid & np.append(change[1:], True)
+    begins[1:] |= valid[1:] & ~valid[:-1]
+    ends[:-1] |= valid[:-1] & ~valid[1:]
+    return np.flatnonzero(begins), np.flatnonzero(ends)
+
+
+def digest(data: bytes) -> bytes:
+    """A 128-bit cryptographic digest, which stands for the bytes themselves: equal digests are taken for equal bytes."""
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def covered(length: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of `length` places some half-open interval covers."""
     delta = np.zeros(length + 1, np.int32)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import grams
-from quire.llm.common import cut, map_batches, small_batches, text_only
+from quire.llm.common import Scratch, cut, map_batches, text_only
 from quire.llm.components import components
 
 BLOCK = 2048
@@ -37,17 +37,10 @@ BLOCK = 2048
 
 def _shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each shingle of all texts, one text after another, and how many each text has."""
-    data = grams.LOWER[raw]
-    starts, ends, first = grams.words(data, offsets, grams.SPACED)
-    if not len(starts):
+    data, a, b, first = grams.spaced(grams.LOWER[raw], offsets)
+    if not len(a):
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    solid = grams.SPACED[data]
-    keep = solid.copy()
-    keep[ends[ends < len(data)]] = True  # one separator after each word, which becomes a space
-    at = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(keep, out=at[1:])
-    text = np.where(solid, data, np.uint8(32))[keep].tobytes()
-    a, b = at[starts], at[ends - 1] + 1
+    text = data.tobytes()
     count = np.diff(first)
     shingles = np.where(count > 0, np.maximum(count - k + 1, 1), 0)
     begin = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(shingles)[:-1]]), shingles) + np.arange(shingles.sum())
@@ -219,10 +212,9 @@ def _cells(rows: DataFrame, radius: int, least: int) -> DataFrame:
 def links(nodes: DataFrame, *, radius: int = 4, segments: int = 3, least: int = 0, block: int = BLOCK) -> DataFrame:
     """(u, v): links that connect all nodes with fingerprints at `radius` or fewer differing bits.
 
-    nodes: fingerprint, node and sketch. With least, so many bytes of two nodes' sketches must agree besides.
+    nodes: fingerprint, node and sketch. With least, so many bytes of two nodes' sketches must agree besides. Best run
+    with arrow_rows of some 20,000.
     """
-    spark = nodes.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     index = _index(nodes, radius, segments)
     hot = index.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("probe")).alias("t")).where((F.col("n") > block) & (F.col("t") > 0))
     hot = hot.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
@@ -239,11 +231,11 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 4, radius: int = 4,
 
     With least, documents are linked only if so many of their sketches' eight bytes agree besides, equal fingerprints included.
     """
-    by = ["fingerprint", "sketch"] if least else ["fingerprint"]
+    spark, by = docs.sparkSession, ["fingerprint", "sketch"] if least else ["fingerprint"]
     marked = cut(fingerprint(text_only(docs, id_col, text_col), shingle_words=shingle_words, text_col=text_col).select(id_col, "fingerprint", "sketch"))
-    nodes = marked.where(F.col(id_col).isNotNull()).groupBy(*by).agg(F.min(id_col).cast("long").alias("node"), *([] if least else [F.lit(0).cast("long").alias("sketch")]))
-    roots = components(links(nodes, radius=radius, segments=segments, least=least, block=block))
-    small_batches(docs.sparkSession)
+    with Scratch(spark, "simhash", rows=20000) as scratch:
+        nodes = cut(marked.where(F.col(id_col).isNotNull()).groupBy(*by).agg(F.min(id_col).cast("long").alias("node"), *([] if least else [F.lit(0).cast("long").alias("sketch")])))
+        roots = components(scratch.table(links(nodes, radius=radius, segments=segments, least=least, block=block)))
     named = nodes.join(roots, nodes["node"] == roots["u"], "left").select(*by, F.coalesce("root", "node").alias("component_id"))
     return marked.join(named, by, "left").select(id_col, "fingerprint", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -255,7 +247,7 @@ def keep_one(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8
     """
     from quire.llm import jaccard
 
-    known = cut(jaccard.groups(docs, shingle_words=shingle_words, similarity=similarity, segments=segments, block=block, id_col=id_col, text_col=text_col))
+    known = jaccard.groups(docs, shingle_words=shingle_words, similarity=similarity, segments=segments, block=block, id_col=id_col, text_col=text_col)
     stays = known.where(F.col("_component") == F.col(id_col)).select(id_col)
     kept = docs.join(stays, id_col, "left_semi").select(*docs.columns)
     if known.where("_n > 1").limit(1).count():

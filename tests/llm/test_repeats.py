@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quire.llm import cells, op4_substring, op10_suffix
+from quire.llm import op4_substring, op10_suffix
 
 
 def sha(b):
@@ -89,12 +89,54 @@ def test_bytes_agree_with_brute_force(spark, seed, window):
     assert bytes_result(df, window=window) == brute_bytes(rows, window)
 
 
-def test_blocks_find_the_same(spark, monkeypatch):
+def brute_word_spans(rows, window):
+    """Removed bytes of each row where windows of words found anywhere else go, with the spaces inside runs of such words."""
+    words = [[(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for _, t in rows]
+    count = Counter(tuple(x for _, _, x in w[k : k + window]) for w in words for k in range(len(w) - window + 1))
+    out = []
+    for (i, t), w in zip(rows, words, strict=True):
+        covered = {k + j for k in range(len(w) - window + 1) if count[tuple(x for _, _, x in w[k : k + window])] > 1 for j in range(window)}
+        raw, gone = (t or "").encode(), set()
+        for k in covered:
+            gone |= set(range(w[k][0], w[k + 1][0] if k + 1 in covered else w[k][1]))
+        out.append((i, len(raw), len(gone), sha(bytes(x for k, x in enumerate(raw) if k not in gone))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block", [2, 200])
+def test_word_windows_and_hot_anchors(spark, block):
     rows = texts(5, 120)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(cells.repeated_windows, "__kwdefaults__", cells.repeated_windows.__kwdefaults__ | {"block": 3})
-    assert words_result(df, window=5) == brute_words(rows, 5)
+    assert bytes_result(df, window=20, block=block) == brute_bytes(rows, 20)
+    got = op10_suffix.find_repeated(df, window=6, unit="words", block=block).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], sha(bytes(r["kept"]))) for r in got), key=str) == brute_word_spans(rows, 6)
+
+
+def test_words_whose_sums_collide_are_told_apart(spark):
+    """A Thue-Morse word and its complement have equal polynomial sums modulo 2**64 whatever the base."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    head = " ".join(f"word{i}" for i in range(49))
+    rows = [(1, f"{head} {thue}"), (2, f"{head} {thue.translate(str.maketrans('ab', 'ba'))}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert words_result(df) == brute_words(rows, 50) and all(r[2] == 0 for r in words_result(df))
+    assert bytes_result(df) == brute_bytes(rows, 400)
+    assert bytes_result(df, window=600) == brute_bytes(rows, 600)
+
+
+def test_columns_that_clash_with_the_results(spark):
+    rows = texts(8)
+    own = ["_starts", "_left_id", "_right_id", "_key", "_text", "id", "anchor", "n_bytes", "kept"]
+    df = spark.createDataFrame([(i, t, *["own"] * len(own)) for i, t in rows], f"doc_id long, text string, {', '.join(f'{c} string' for c in own)}")
     assert bytes_result(df, window=20) == brute_bytes(rows, 20)
+    assert all(r["_starts"] == r["_right_id"] == r["anchor"] == "own" for r in op10_suffix.find_repeated(df, window=20).collect())
+    assert words_result(df, window=5) == brute_words(rows, 5)
+
+
+def test_one_very_long_word(spark):
+    rows = [(1, "x" * 3_000_000), (2, "x" * 500), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert words_result(df, window=1)[1][2] == 0
+    assert [r[2] for r in bytes_result(df)] == [3_000_000, 500, 0]
 
 
 def test_empty_table(spark):
