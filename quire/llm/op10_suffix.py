@@ -13,7 +13,7 @@ cell, a row; there are some 0.7 cells for each 100 bytes.
 2. Cells of equal bytes (equal 128-bit digests) are one class; each window of a class of two or more is repeated.
 3. The cells that are left, each alone in its class, are refined against the other classes of their anchor, one member
    of each, by bucket pointers. An anchor that more than `block` classes have (a passage in very many surroundings) is
-   not gathered: its windows are counted one by one across the cluster, which grows in proportion.
+   not gathered: its cells are narrowed down across the cluster, which grows in proportion.
 
 Symbols are bytes, or words (unit="words"), for windows that mean the same in every script.
 
@@ -119,6 +119,67 @@ def refine(codes: np.ndarray, depth: int, first: np.ndarray, group: np.ndarray,
     return bucket
 
 
+def pieces_of(symbols: Symbols, a: np.ndarray, n: np.ndarray, level: int, window: int, gram: int) -> tuple[np.ndarray, list[bytes], list[bytes], np.ndarray, np.ndarray]:
+    """Of each sequence's n windows from its a-th on, the pieces: (sequence, core's digest, whole's digest, first window, windows).
+
+    A window's place is the distance from its start to its anchor. A piece has the windows that follow one another
+    with one anchor and places in one block of 2**level; its core is what all windows of such places share.
+    """
+    anchor = grams.window_argmin(grams.runs_ids(symbols.ids, gram), window - gram + 1)
+    which = np.repeat(np.arange(len(n)), n)
+    x = (symbols.first[:-1] + a)[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    at = anchor[x]
+    block = (at - x) >> level
+    change = np.ones(len(x), np.bool_)
+    change[1:] = (which[1:] != which[:-1]) | (at[1:] != at[:-1]) | (block[1:] != block[:-1])
+    begin = np.flatnonzero(change)
+    count = np.diff(np.append(begin, len(x)))
+    x, at, block, which = x[begin], at[begin], block[begin], which[begin]
+    low = block << level
+    high = np.minimum(low + (1 << level) - 1, window - gram)
+    cores = [grams.digest(b"%d " % k + p) for k, p in zip(block.tolist(), symbols.parts(at - low, at - high + window), strict=True)]
+    wholes = [grams.digest(p) for p in symbols.parts(x, x + count + window - 1)]
+    return which, cores, wholes, x - symbols.first[which], count
+
+
+def narrowed(scratch: Scratch, members: DataFrame, *, window: int, gram: int, unit: str) -> DataFrame:
+    """(kind, a, b): runs of repeated windows in cells that are alone in their class, without gathering the cells of an anchor.
+
+    members: kind, alone, bytes; one row for each class of cells. Windows that are equal stand equally far from their
+    anchor, so cells are cut into pieces by that distance, finer at each level. Pieces of equal bytes are repeated;
+    pieces whose core no other has are not; the rest go on, one for each class. Where a passage ends in a cell, only
+    the piece around that place goes on, so each level has a few rows for each cell.
+    """
+
+    def split(level: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row, raw, offsets in grams.chunks(b.column(4)):
+                    symbols, own = Symbols.of(raw, offsets, unit), b.slice(row, len(offsets) - 1)
+                    n = own.column(3).to_numpy()
+                    n = np.where(n < 0, np.diff(symbols.first) - window + 1, n)
+                    which, cores, wholes, a, count = pieces_of(symbols, own.column(2).to_numpy(), n, level, window, gram)
+                    who = pa.array(which)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cores, pa.binary()), pa.array(wholes, pa.binary()), own.column(0).take(who), own.column(1).take(who), pa.array(a.astype(np.int32)), pa.array(count.astype(np.int32))],
+                        names=["core", "whole", "kind", "alone", "a", "n"],
+                    )
+
+        return run
+
+    left = members.select("kind", "alone", F.lit(0).alias("a"), F.lit(-1).alias("n"), "bytes")
+    done = None
+    for level in [*range((window - gram).bit_length(), 0, -3), 0]:
+        pieces = scratch.table(left.mapInArrow(split(level), "core binary, whole binary, kind binary, alone boolean, a int, n int"))
+        classes = cut(pieces.groupBy("core", "whole").agg(((F.count("*") == 1) & F.bool_and("alone")).alias("alone"), F.min(F.struct("kind", "a", "n")).alias("member")))
+        found = pieces.where("alone").join(classes.where("not alone").select("core", "whole"), ["core", "whole"], "left_semi").select("kind", "a", (F.col("a") + F.col("n")).alias("b"))
+        done = found if done is None else done.union(found)
+        shared = cut(classes.groupBy("core").agg(F.count("*").alias("classes"), F.bool_or("alone").alias("open")).where("classes > 1 and open").select("core"))
+        rows = classes.join(shared, "core", "left_semi").select("member.*", "alone")
+        left = rows.join(members.select("kind", "bytes"), "kind").select("kind", "alone", "a", "n", "bytes")
+    return done
+
+
 def repeated_starts(docs: DataFrame, *, window: int, unit: str, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
     """(id, row_key, starts array<struct<a,b>>): half-open runs of starts of windows that also start anywhere else."""
     texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("_text"))
@@ -180,16 +241,6 @@ def repeated_starts(docs: DataFrame, *, window: int, unit: str, id_col: str, tex
         if held:
             yield compare(pa.Table.from_batches(held))
 
-    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, raw, offsets in grams.chunks(b.column(2)):
-                symbols = Symbols.of(raw, offsets, unit)
-                x = np.flatnonzero(grams.inside(symbols.first, window))
-                owner = np.searchsorted(symbols.first, x, "right") - 1
-                digests = [grams.digest(p) for p in symbols.parts(x, x + window)]
-                who = pa.array(row + owner)
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), b.column(0).take(who), b.column(1).take(who), pa.array((x - symbols.first[owner]).astype(np.int32))], names=["window", "kind", "alone", "a"])
-
     with Scratch(docs.sparkSession, "suffix") as scratch:
         cells = scratch.table(texts.mapInArrow(scan, f"id {kind}, row_key long, s int, n int, anchor long, kind binary, twice boolean"))
         # aggregates are materialised before they are joined back: a join with an aggregate that lies on the same
@@ -205,9 +256,8 @@ def repeated_starts(docs: DataFrame, *, window: int, unit: str, id_col: str, tex
         members = scratch.table(joined.mapInArrow(expand, "anchor long, kind binary, alone boolean, many boolean, bytes binary"))
         few = members.where("not many").select("anchor", "kind", "alone", "bytes").repartition("anchor").sortWithinPartitions("anchor")
         runs = few.mapInArrow(judge, "kind binary, a int, b int")
-        windows = scratch.table(members.where("many").select("kind", "alone", "bytes").mapInArrow(one_by_one, "window binary, kind binary, alone boolean, a int"))
-        often = cut(windows.groupBy("window").count().where("count > 1").select("window"))
-        runs = runs.union(windows.where("alone").join(often, "window", "left_semi").select("kind", "a", (F.col("a") + 1).alias("b")))
+        if members.where("many").limit(1).count():
+            runs = runs.union(narrowed(scratch, members.where("many").select("kind", "alone", "bytes"), window=window, gram=gram, unit=unit))
         known = found.join(classes.select("anchor", "kind", "k"), ["anchor", "kind"])
         whole = known.where("k > 1").select("id", "row_key", F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b")).alias("run"))
         part = known.where("k = 1").join(runs, "kind").select("id", "row_key", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b")).alias("run"))
