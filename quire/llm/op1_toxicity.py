@@ -9,8 +9,11 @@ Labels belong to texts, not windows. So each round of training takes, of a toxic
 highest (at first the one with the most telling words) as the example, and windows from all over clean texts as
 counterexamples. Last, the worst-window logits of texts kept out of training give the scale and offset of the score.
 
-The model is fitted on at most `per_class` labelled rows of either label, drawn by a hash of their ids: a bound
-that the driver's memory needs and that does not grow with the corpus. All texts are scored, whole.
+The model is fitted on at most `per_class` labelled rows of either label, drawn by a hash of their ids, in one task: a
+bound that its memory needs and that does not grow with the corpus. All texts are scored, whole. Windows begin at every
+sixteenth word and hold 32, so that each passage of up to 17 words lies whole in one. A word or character place is
+learned if three texts of the sample hold it, and one more for each 400; a round goes over up to 2,000 windows six
+times, over more twice.
 
 Defined cases: a null or empty text, or one without words, is scored as one empty window; labels that are null, or
 of unknown ids, or repeated, teach nothing or once; with no labelled row, or one label only, every score is the
@@ -20,6 +23,8 @@ result; other columns pass through unless a result column takes the name. Only t
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -304,13 +309,12 @@ def train(texts: list[str], labels: list[int], *, rounds: int = 4, batch: int =
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class: int, learn: F.Column) -> list[tuple[str, int]]:
-    """At most per_class texts of either label, drawn by a hash of the id, from labels where learn holds."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class: int, learn: F.Column) -> DataFrame:
+    """(doc_id, text, label): at most per_class texts of either label, drawn by a hash of the id, from labels where learn holds."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     drawn = own.where("label = 1").orderBy(*order).limit(per_class).union(own.where("label = 0").orderBy(*order).limit(per_class))
-    rows = text_only(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"]).collect()
-    return [(r["text"] or "", r["label"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    return text_only(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").dropDuplicates(["doc_id"])
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -319,8 +323,21 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> Network:
+    """A network fitted to a bounded sample, in one task: the driver gets its weights alone, no texts."""
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", per_class=per_class, learn=~held_out())
-    return train([x for x, _ in sample], [y for _, y in sample])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+        net = train([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.p, net.scale, net.offset))], pa.binary())], names=["weights"])
+
+    found = sample.repartition(1).mapInArrow(run, "weights binary").collect()
+    if not found:  # no labelled row, no task
+        return train([], [])
+    net = Network()
+    net.p, net.scale, net.offset = pickle.loads(bytes(found[0][0]))
+    return net
 
 
 def score(docs: DataFrame, net: Network, *, text_col: str = "text") -> DataFrame:

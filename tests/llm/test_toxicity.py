@@ -5,6 +5,7 @@ import pyarrow as pa
 
 from quire.llm import grams
 from quire.llm import op1_toxicity as op
+from quire.llm.op6_decontamination import normal_words
 
 
 def planted(n, seed):
@@ -90,3 +91,43 @@ def test_odd_rows(spark):
         net = op.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
         assert all(0 <= r["score"] <= 1 for r in op.score(docs, net).collect())
     assert op.score(docs.limit(0), op.Network()).count() == 0
+
+
+def plain_score(net, text):
+    """The score of a text by loops over words and windows, one at a time."""
+    p, h, sigmoid = net.p, op.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+    words = normal_words(text)
+    starts = sorted({min(k, max(0, len(words) - op.WINDOW)) for k in range(0, max(1, len(words) - op.WINDOW + op.STRIDE), op.STRIDE)})
+    vector = {w: net.vectors(op.tokenise(np.frombuffer(w, np.uint8), np.array([0, len(w)])))[0].astype(float) for w in set(words)}
+    logits = []
+    for s in starts:
+        window = words[s : s + op.WINDOW]
+        states = np.zeros((max(1, len(window)), 2 * h))
+        for side, u in ((0, p["Uf"]), (1, p["Ub"])):
+            now = np.zeros(h)
+            for t in range(len(window)) if side == 0 else range(len(window) - 1, -1, -1):
+                g = (vector[window[t]] @ p["Wx"] + p["bx"])[side * 3 * h : (side + 1) * 3 * h]
+                z, r = (sigmoid(g[k * h : (k + 1) * h] + (now @ u)[k * h : (k + 1) * h]) for k in (0, 1))
+                now = z * now + (1 - z) * np.tanh(g[2 * h :] + r * (now @ u)[2 * h :])
+                states[t, side * h : (side + 1) * h] = now
+        a = np.exp(np.tanh(states @ p["Wa"] + p["ba"]) @ p["va"])
+        logits.append((a / a.sum()) @ states @ p["wo"] + p["bo"][0])
+    return sigmoid(max(logits) * net.scale + net.offset)
+
+
+def test_scores_agree_with_a_plain_forward_pass(spark):
+    net = op.train(*planted(200, 3), rounds=1)
+    texts = ["one", "a b c", "word " * 32, " ".join(f"w{i}" for i in range(33)), " ".join(f"v{i % 7} Ünï" for i in range(60)), planted(3, 4)[0][0], "x " * 47 + "kill"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in op.score(df, net).collect():
+        assert abs(r["score"] - plain_score(net, r["text"])) < 1e-4, r["text"]
+
+
+def test_fitted_in_a_task_as_on_the_driver(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = sorted(op.labelled_sample(docs, labels, "toxic", per_class=op.PER_CLASS, learn=~op.held_out()).collect(), key=lambda r: r["doc_id"])
+    own, net = op.train([r["text"] for r in rows], [r["label"] for r in rows]), op.fit(docs, labels)
+    texts = [r["text"] for r in rows]
+    assert own.p.keys() == net.p.keys() and all(own.p[k].shape == net.p[k].shape for k in own.p)
+    # sums of floats depend on the number of threads of the linear algebra library, so weights are near, not equal
+    assert np.mean((scores(own, texts) >= 0.5) == (scores(net, texts) >= 0.5)) >= 0.97
