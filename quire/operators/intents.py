@@ -8,18 +8,49 @@ from pyspark.sql import functions as F
 from quire.plans.registry import query
 from quire.sources.adapters import table
 
-#: Fields that each known intent may carry besides its tag.
+#: The intents of version 0, and the fields that each may carry besides its tag.
 INTENT_FIELDS = {
+    "Open": ("path",),
+    "PageCount": (),
+    "Render": ("page",),
+    "ApplyContent": ("json",),
+    "Export": ("path",),
     "Undo": (),
     "Redo": (),
     "ExtractText": (),
-    "PageCount": (),
+    "Propose": ("json",),
+    "Commit": (),
+    "DiscardProposal": (),
     "Find": ("query", "case_sensitive", "whole_word"),
-    "Replace": ("query", "replacement", "all"),
-    "DeleteBlock": ("section", "index"),
+    "Replace": ("query", "replacement", "case_sensitive", "whole_word", "all"),
+    "HitTest": ("page", "x", "y"),
+    "CaretRect": ("page", "node", "offset"),
+    "InsertText": ("node", "offset", "text"),
+    "DeleteBack": ("node", "offset"),
+    "SetImageSize": ("section", "index", "width", "height"),
+    "MoveImage": ("section", "from", "to", "width", "height"),
     "MoveBlock": ("section", "from", "to"),
-    "SetParagraphText": ("section", "block", "text"),
+    "TableInsertRows": ("section", "index", "at", "count", "cols"),
     "SetTableCell": ("section", "index", "row", "col", "text"),
+    "TableAppendRow": ("section", "index"),
+    "SetParagraphText": ("section", "block", "text"),
+    "SetTableColWidths": ("section", "index", "widths"),
+    "SetTableRowHeights": ("section", "index", "heights"),
+    "SetPageMargins": ("section", "left_mm", "right_mm", "top_mm", "bottom_mm"),
+    "SetCharFmt": ("section", "block", "cell", "bold", "italic", "size_pt", "font"),
+    "SetRunCharFmt": ("section", "block", "cell", "start", "end", "bold", "italic"),
+    "SetTableCellRuns": ("section", "index", "row", "col", "runs", "path"),
+    "SetParagraphRuns": ("section", "block", "runs"),
+    "SetTableCellShade": ("section", "index", "sel", "row", "col", "shade"),
+    "SetCellRangeShade": ("section", "index", "r0", "c0", "r1", "c1", "shade"),
+    "SetCellRangeFmt": ("section", "index", "r0", "c0", "r1", "c1", "bold", "italic", "size_pt", "font", "color", "align"),
+    "DeleteBlock": ("section", "index"),
+    "InsertImage": ("section", "block", "data_b64", "width", "height"),
+    "InsertTableAt": ("section", "index", "rows"),
+    "InsertParagraphAt": ("section", "index", "runs", "para"),
+    "InsertChartAt": ("section", "index", "chart"),
+    "HitTestCell": ("page", "x", "y"),
+    "CaretRectCell": ("section", "block", "row", "col", "para", "offset"),
 }
 INTENT_VERSION = 0
 
@@ -157,3 +188,47 @@ def web_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     j = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('[{"type":"url_citation","url_citation":{"url":"'), url, F.lit('","title":" "}},{"x":1}]'))).otherwise(F.concat(F.lit('[{"url":"'), url, F.lit('","title":"Title"}]')))
     return citations(table(spark, sf_dir, "pages").select("page_id", j.alias("json"))).select("page_id", "title", "url")
+
+
+def anchor_lines(anchors: DataFrame) -> DataFrame:
+    """A line of text for each anchor (section, block, r0, r1, c0, c1, label, kind): which place an instruction means."""
+
+    def part(name: str, low: str, high: str) -> Column:
+        one, many = F.format_string(f", {name}=%d", F.col(low)), F.format_string(f", {name} %d..=%d", F.col(low), F.col(high))
+        return F.when(F.col(low).isNull(), "").when(F.col(low) == F.col(high), one).otherwise(many)
+
+    at = F.concat(F.format_string("section=%d, block=%d", F.col("section"), F.col("block")), part("row", "r0", "r1"), part("col", "c0", "c1"))
+    label = F.when(F.coalesce("label", F.lit("")) == "", F.col("kind")).otherwise(F.col("label"))
+    return anchors.withColumn("line", F.concat(F.format_string("- [s%d/b%d] ", F.col("section"), F.col("block")), label, F.lit(" ("), at, F.lit(")")))
+
+
+def coerced_cells(rows: DataFrame, column: str = "json") -> DataFrame:
+    """rows with text and shade of a model's cell: scalars are their text, null and lists are empty, objects give theirs."""
+    body = F.try_parse_json(column)
+    kind = F.schema_of_variant(body)
+    text = F.when(kind.startswith("OBJECT"), F.coalesce(F.try_variant_get(body, "$.text", "string"), F.lit(""))).when(kind.startswith("ARRAY") | (kind == "VOID"), "").otherwise(F.try_variant_get(body, "$", "string"))
+    return rows.withColumn("text", text).withColumn("shade", F.when(kind.startswith("OBJECT"), F.try_variant_get(body, "$.shade", "string")))
+
+
+@query("""SELECT event_id, '- [s0/b' || event_id % 50 || '] ' || CASE WHEN event_id % 3 = 0 THEN 'cell' ELSE event_type END || ' (section=0, block=' || event_id % 50 || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN ', row=' || user_id ELSE ', row ' || user_id || '..=' || user_id + 2 END || CASE WHEN event_id % 2 = 0 THEN '' ELSE ', col=1' END || ')' AS line FROM events""")
+def anchor_directive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    rows = e.select(
+        "event_id",
+        F.lit(0).alias("section"),
+        (F.col("event_id") % 50).alias("block"),
+        F.when(F.col("event_id") % 4 > 0, F.col("user_id")).alias("r0"),
+        F.when(F.col("event_id") % 4 > 0, F.col("user_id") + F.when(F.col("event_id") % 4 > 1, 2).otherwise(0)).alias("r1"),
+        F.when(F.col("event_id") % 2 > 0, F.lit(1)).alias("c0"),
+        F.when(F.col("event_id") % 2 > 0, F.lit(1)).alias("c1"),
+        F.when(F.col("event_id") % 3 > 0, F.col("event_type")).otherwise("").alias("label"),
+        F.lit("cell").alias("kind"),
+    )
+    return anchor_lines(rows).select("event_id", "line")
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_type WHEN 1 THEN user_id::VARCHAR WHEN 2 THEN 'true' WHEN 5 THEN event_type ELSE '' END AS text, CASE WHEN event_id % 6 = 5 THEN '#AABBCC' END AS shade FROM events""")
+def ai_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id") % 6
+    json = F.when(n == 0, F.format_string('"%s"', "event_type")).when(n == 1, F.col("user_id").cast("string")).when(n == 2, "true").when(n == 3, "null").when(n == 4, '["x"]').otherwise(F.format_string('{"text":"%s","shade":"#AABBCC"}', "event_type"))
+    return coerced_cells(table(spark, sf_dir, "events").select("event_id", json.alias("json"))).select("event_id", "text", "shade")
