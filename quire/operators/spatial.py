@@ -1,64 +1,95 @@
-"""Hit tests on placed pages: interval, nearest and containment joins, always within one page."""
+"""Hit tests on placed pages: interval, nearest and containment joins, within one page and, on it, within tiles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.plans.registry import query
 from quire.sources.adapters import BOX, PROBE, boxes, probes
 
 
+#: Width and height of the tiles that boxes are dealt out by, in the units of the page. A box stands in each tile it meets.
+TILE = 64.0
+
+
+def _tile(v: Column) -> Column:
+    return F.floor(v / TILE).cast("long")
+
+
+def _tiled(placed: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
+    """placed once for each tile from low to high; null bounds meet none."""
+    return placed.withColumn(name, F.explode(F.sequence(_tile(low), _tile(high))))
+
+
 def block_at(points: DataFrame, placed: DataFrame) -> DataFrame:
     """(probe, box): the lowest band that holds a point's y; where none does, the nearest band. x does not matter.
 
-    The page is the join key, so each point meets its page's boxes alone; the choice is an aggregate, not a sort.
+    Bands that hold the point come from a join on page and tile. Only points in no band look further: to the band
+    that ends last above and the one that begins first below, a running maximum and minimum over the page's edges.
     """
-    near = F.greatest(F.col("y") - F.col("py"), F.col("py") - (F.col("y") + F.col("h")), F.lit(0.0))
-    inside = (near == 0).cast("int")
-    best = F.min_by("box", F.struct(1 - inside, F.when(near == 0, F.col("h")).otherwise(near), F.col("box")))
-    return points.join(placed, "page").groupBy("probe").agg(best.alias("box"))
+    y0, y1 = F.col("y"), F.col("y") + F.col("h")
+    near = _tiled(placed.select("page", "box", "y", "h"), y0, y1, "ty")
+    hits = points.withColumn("ty", _tile(F.col("py"))).join(near, ["page", "ty"]).where(F.col("py").between(y0, y1))
+    inside = hits.groupBy("probe").agg(F.min_by("box", F.struct("h", "box")).alias("box"))
+    left = points.select("probe", "page", "py").join(inside.select("probe"), "probe", "left_anti")
+    seeks = left.select("page", F.col("py").alias("pos"), "probe", F.lit(None).cast("struct<pos:double,box:bigint>").alias("edge"))
+    edges = lambda pos, box: placed.select("page", pos.alias("pos"), F.lit(None).cast(points.schema["probe"].dataType).alias("probe"), F.struct(pos.cast("double").alias("pos"), box.alias("box")).alias("edge"))
+    so_far = Window.partitionBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    above = edges(y1, -F.col("box")).unionByName(seeks).withColumn("edge", F.max("edge").over(so_far.orderBy("pos"))).where("probe is not null")
+    below = edges(y0, F.col("box")).unionByName(seeks).withColumn("edge", F.min("edge").over(so_far.orderBy(F.desc("pos")))).where("probe is not null")
+    found = above.select("probe", (F.col("pos") - F.col("edge.pos")).alias("near"), (-F.col("edge.box")).alias("box")).union(below.select("probe", F.col("edge.pos") - F.col("pos"), "edge.box")).where("box is not null")
+    return inside.unionByName(found.groupBy("probe").agg(F.min_by("box", F.struct("near", "box")).alias("box")))
+
+
+def _over(points: DataFrame, placed: DataFrame) -> DataFrame:
+    """Points with the boxes of their tile."""
+    tiles = _tiled(_tiled(placed, F.col("x"), F.col("x") + F.col("w"), "tx"), F.col("y"), F.col("y") + F.col("h"), "ty")
+    return points.withColumns({"tx": _tile(F.col("px")), "ty": _tile(F.col("py"))}).join(tiles, ["page", "tx", "ty"])
 
 
 def cell_at(points: DataFrame, placed: DataFrame) -> DataFrame:
     """(probe, box): the smallest box that holds a point, edges included; the lower number of equals."""
     holds = F.col("px").between(F.col("x"), F.col("x") + F.col("w")) & F.col("py").between(F.col("y"), F.col("y") + F.col("h"))
-    pairs = points.join(placed, "page").where(holds)
-    return pairs.groupBy("probe").agg(F.min_by("box", F.struct(F.col("w") * F.col("h"), F.col("box"))).alias("box"))
+    return _over(points, placed).where(holds).groupBy("probe").agg(F.min_by("box", F.struct(F.col("w") * F.col("h"), F.col("box"))).alias("box"))
 
 
 def boxes_in_rect(rects: DataFrame, placed: DataFrame) -> DataFrame:
-    """(rect, box): boxes that meet a rectangle of the same page, touching included; corners may come in any order."""
-    x0, x1 = F.least("x0", "x1"), F.greatest("x0", "x1")
-    y0, y1 = F.least("y0", "y1"), F.greatest("y0", "y1")
-    meets = (F.col("x") <= x1) & (F.col("x") + F.col("w") >= x0) & (F.col("y") <= y1) & (F.col("y") + F.col("h") >= y0)
-    return rects.join(placed, "page").where(meets).select("rect", "box").distinct()
+    """(rect, box): boxes that meet a rectangle of the same page, touching included; corners may come in any order.
+
+    Both are dealt out by tiles; a pair counts in the tile of the first corner that they share.
+    """
+    ordered = rects.select("rect", "page", F.least("x0", "x1").alias("x0"), F.greatest("x0", "x1").alias("x1"), F.least("y0", "y1").alias("y0"), F.greatest("y0", "y1").alias("y1"))
+    left = _tiled(_tiled(ordered, F.col("x0"), F.col("x1"), "tx"), F.col("y0"), F.col("y1"), "ty")
+    right = _tiled(_tiled(placed.select("page", "box", "x", "y", "w", "h"), F.col("x"), F.col("x") + F.col("w"), "tx"), F.col("y"), F.col("y") + F.col("h"), "ty")
+    meets = (F.col("x") <= F.col("x1")) & (F.col("x") + F.col("w") >= F.col("x0")) & (F.col("y") <= F.col("y1")) & (F.col("y") + F.col("h") >= F.col("y0"))
+    once = (_tile(F.greatest("x", "x0")) == F.col("tx")) & (_tile(F.greatest("y", "y0")) == F.col("ty"))
+    return left.join(right, ["page", "tx", "ty"]).where(meets & once).select("rect", "box").distinct()
 
 
 def caret_offset(points: DataFrame, glyph_runs: DataFrame) -> DataFrame:
     """(probe, offset): the character boundary nearest to a point in its line's run, clamped to the run's ends.
 
     glyph_runs: page, line, start, len, x0, x1, top, height. A point above or below all lines within one line's
-    height takes the nearest; others none.
+    height takes the nearest; others none. Lines are dealt out by the tiles within that reach.
     """
     near = F.greatest(F.col("top") - F.col("py"), F.col("py") - (F.col("top") + F.col("height")), F.lit(0.0))
     aside = F.greatest(F.col("x0") - F.col("px"), F.col("px") - F.col("x1"), F.lit(0.0))
     share = (F.least(F.greatest("px", F.col("x0")), F.col("x1")) - F.col("x0")) / (F.col("x1") - F.col("x0"))
     offset = (F.col("start") + F.floor(share * F.col("len") + 0.5)).cast("long")
-    pairs = points.join(glyph_runs, "page").where((near <= F.col("height")) & (F.col("x1") > F.col("x0")))
+    reach = _tiled(glyph_runs, F.col("top") - F.col("height"), F.col("top") + F.col("height") * 2, "ty")
+    pairs = points.withColumn("ty", _tile(F.col("py"))).join(reach, ["page", "ty"]).where((near <= F.col("height")) & (F.col("x1") > F.col("x0")))
     return pairs.groupBy("probe").agg(F.min_by(offset, F.struct(near, aside, F.col("line"), F.col("start"))).alias("offset"))
 
 
 def containing(points: DataFrame, placed: DataFrame) -> DataFrame:
     """(probe, n, first, last): how many boxes strictly hold a point, the first and the last of them."""
     holds = (F.col("px") > F.col("x")) & (F.col("px") < F.col("x") + F.col("w")) & (F.col("py") > F.col("y")) & (F.col("py") < F.col("y") + F.col("h"))
-    return points.join(placed, "page").where(holds).groupBy("probe").agg(F.count("*").alias("n"), F.min("box").alias("first_box"), F.max("box").alias("last_box"))
+    return _over(points, placed).where(holds).groupBy("probe").agg(F.count("*").alias("n"), F.min("box").alias("first_box"), F.max("box").alias("last_box"))
 
 
 def ordinal_join(left: DataFrame, right: DataFrame, key: str, left_order: list[str], right_order: list[str]) -> DataFrame:
     """Pairs the n-th row of either side within a key; what one side has too much stays, without a partner."""
-    from pyspark.sql import Window
-
     number = lambda d, o: d.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*o)).cast("long"))
     return number(left, left_order).join(number(right, right_order), [key, "n"], "full_outer")
 

@@ -25,13 +25,22 @@ def resolve_pool(rows: DataFrame, ref: str, pool: DataFrame) -> DataFrame:
     return keyed.join(pool.select(F.col("xml_id").alias("_key"), "idx"), "_key", "left").withColumn("idx", F.coalesce("idx", F.lit(0).cast("long"))).drop("_key")
 
 
-def intern(rows: DataFrame, shape: list[str], position: str) -> DataFrame:
+def intern(rows: DataFrame, shape: list[str], position: str, *, parts: int = 64) -> DataFrame:
     """Distinct shapes numbered from 1 in the order in which they are first seen.
 
-    The numbering sorts distinct shapes alone, of which a style pool has few; it is one task for them.
+    Numbers run within parts of the positions, whose bounds are approximate quantiles; each part's numbers begin
+    where the counts of those before end. Any bounds give the same numbers. position is a number.
     """
     first = rows.groupBy(*shape).agg(F.min(position).alias("first_seen"))
-    return first.withColumn("idx", F.row_number().over(Window.orderBy("first_seen", *shape)).cast("long"))
+    bounds = sorted(set(first.approxQuantile("first_seen", [k / parts for k in range(1, parts)], 0.01)))
+    part = F.lit(0)
+    for k in bounds:
+        part = part + (F.coalesce(F.col("first_seen"), F.lit(float("-inf"))) > k).cast("int")
+    first = first.withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over at most `parts` rows
+    offsets = first.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("first_seen", *shape))
+    return first.withColumn("idx", own.cast("long")).join(offsets, "_part").withColumn("idx", F.col("idx") + F.col("_before")).drop("_part", "_before")
 
 
 def mode(rows: DataFrame, by: list[str], value: str) -> DataFrame:
