@@ -169,7 +169,7 @@ def narrowed(scratch: Scratch, members: DataFrame, *, window: int, gram: int, un
 
     left = members.select("kind", "alone", F.lit(0).alias("a"), F.lit(-1).alias("n"), "bytes")
     done = None
-    for level in [*range((window - gram).bit_length(), 0, -2), 0]:
+    for level in [*range((window - gram).bit_length() - 2, 0, -2), 0]:  # one level that holds all places would tell what the anchors tell
         pieces = scratch.table(left.mapInArrow(split(level), "core binary, whole binary, kind binary, alone boolean, a int, n int"))
         classes = cut(pieces.groupBy("core", "whole").agg(((F.count("*") == 1) & F.bool_and("alone")).alias("alone"), F.min(F.struct("kind", "a", "n")).alias("member")))
         found = pieces.where("alone").join(classes.where("not alone").select("core", "whole"), ["core", "whole"], "left_semi").select("kind", "a", (F.col("a") + F.col("n")).alias("b"))
