@@ -119,7 +119,7 @@ def delete_range_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "block", F.coalesce(new, "text").alias("text"), F.when(new.isNull(), "out_of_range").otherwise("ok").alias("status"))
 
 
-@query(f"""WITH {PARAGRAPH}, run AS (SELECT doc_id, block, i - 1 AS run, w AS text FROM (SELECT doc_id, block, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM paragraph WHERE block < 3)),
+@query(f"""WITH {PARAGRAPH}, run AS (SELECT doc_id, block, i - 1 AS run, w AS text FROM (SELECT doc_id, block, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM paragraph)),
 r AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id, block ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM run),
 c AS (SELECT *, least(greatest(10 - pos, 0), length(text)) AS a FROM r), d AS (SELECT *, greatest(a, least(greatest(25 - pos, 0), length(text))) AS b FROM c),
 p AS (SELECT doc_id, block, run, 0 AS part, substr(text, 1, a::INT) AS text, false AS inside FROM d UNION ALL SELECT doc_id, block, run, 1, substr(text, a::INT + 1, (b - a)::INT), true FROM d UNION ALL SELECT doc_id, block, run, 2, substr(text, b::INT + 1), false FROM d)

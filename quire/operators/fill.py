@@ -147,7 +147,7 @@ def field_format_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", format_ok(date, F.lit("date")).alias("dated"), format_ok(number, F.lit("number")).alias("numeric"), format_ok(date, F.lit("phone")).alias("phoned"))
 
 
-@query("SELECT c_custkey, lpad(c_custkey::VARCHAR, 3, '0')[-3:] AS tail, 'form_' || CASE WHEN c_custkey < 1000 THEN lpad(c_custkey::VARCHAR, 3, '0') ELSE c_custkey::VARCHAR END || '_' || c_mktsegment || '_.hwpx' AS file FROM customer WHERE c_custkey < 1000")
+@query("SELECT c_custkey, lpad(c_custkey::VARCHAR, 3, '0')[-3:] AS tail, 'form_' || CASE WHEN c_custkey < 1000 THEN lpad(c_custkey::VARCHAR, 3, '0') ELSE c_custkey::VARCHAR END || '_' || c_mktsegment || '_.hwpx' AS file FROM customer")
 def fill_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     values = F.create_map(F.lit("seg"), F.concat("c_mktsegment", F.lit("/")))

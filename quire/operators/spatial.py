@@ -104,7 +104,7 @@ def cell_at_smallest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cell_at(probes(spark, sf_dir), boxes(spark, sf_dir))
 
 
-@query(f"WITH {BOX}, {PROBE}, r AS (SELECT probe AS rect, page, px AS x0, px - 90 AS x1, py AS y0, py - 60 AS y1 FROM probe WHERE probe % 5 = 0) SELECT DISTINCT rect, box FROM r JOIN box USING (page) WHERE x <= x0 AND x + w >= x1 AND y <= y0 AND y + h >= y1")
+@query(f"WITH {BOX}, {PROBE}, r AS (SELECT probe AS rect, page, px AS x0, px - 90 AS x1, py AS y0, py - 60 AS y1 FROM probe) SELECT DISTINCT rect, box FROM r JOIN box USING (page) WHERE x <= x0 AND x + w >= x1 AND y <= y0 AND y + h >= y1")
 def blocks_in_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     rects = probes(spark, sf_dir).selectExpr("probe as rect", "page", "px as x0", "px - 90 as x1", "py as y0", "py - 60 as y1")
     return boxes_in_rect(rects, boxes(spark, sf_dir))
