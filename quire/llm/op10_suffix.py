@@ -25,6 +25,7 @@ are, kept text leaves out the split parts.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -119,29 +120,35 @@ def refine(codes: np.ndarray, depth: int, first: np.ndarray, group: np.ndarray,
     return bucket
 
 
-def pieces_of(symbols: Symbols, a: np.ndarray, n: np.ndarray, level: int, window: int, gram: int) -> tuple[np.ndarray, list[bytes], list[bytes], np.ndarray, np.ndarray]:
+def pieces_of(symbols: Symbols, a: np.ndarray, n: np.ndarray, parts: int, window: int, gram: int) -> tuple[np.ndarray, list[bytes], list[bytes], np.ndarray, np.ndarray]:
     """Of each sequence's n windows from its a-th on, the pieces: (sequence, core's digest, whole's digest, first window, windows).
 
     A window's place is the distance from its start to its anchor. A piece has the windows that follow one another
-    with one anchor and places in one block of 2**level; its core is what all windows of such places share.
+    with one anchor and places in one of so many even parts of all places; its core is what all windows of such places
+    share.
     """
-    anchor = grams.window_argmin(grams.runs_ids(symbols.ids, gram), window - gram + 1)
+    span = window - gram + 1
+    anchor = grams.window_argmin(grams.runs_ids(symbols.ids, gram), span)
     which = np.repeat(np.arange(len(n)), n)
     x = (symbols.first[:-1] + a)[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     at = anchor[x]
-    block = (at - x) >> level
+    block = (at - x) * parts // span
     change = np.ones(len(x), np.bool_)
     change[1:] = (which[1:] != which[:-1]) | (at[1:] != at[:-1]) | (block[1:] != block[:-1])
     begin = np.flatnonzero(change)
     count = np.diff(np.append(begin, len(x)))
     x, at, block, which = x[begin], at[begin], block[begin], which[begin]
-    low = block << level
-    high = np.minimum(low + (1 << level) - 1, window - gram)
+    low, high = -(-block * span // parts), -(-(block + 1) * span // parts) - 1
     cores = [grams.digest(b"%d " % k + p) for k, p in zip(block.tolist(), symbols.parts(at - low, at - high + window), strict=True)]
     wholes = [grams.digest(p) for p in symbols.parts(x, x + count + window - 1)]
     return which, cores, wholes, x - symbols.first[which], count
 
 
+def parts_of(span: int) -> list[int]:
+    """Into how many parts the places are cut at each level: halves first, each a quarter of the last's, then one place a part."""
+    return [*itertools.takewhile(lambda parts: 2 * parts <= span, (2 * 4**k for k in itertools.count())), span]
+
+
 def narrowed(scratch: Scratch, members: DataFrame, *, window: int, gram: int, unit: str) -> DataFrame:
     """(kind, a, b): runs of repeated windows in cells that are alone in their class, without gathering the cells of an anchor.
 
@@ -151,14 +158,14 @@ def narrowed(scratch: Scratch, members: DataFrame, *, window: int, gram: int, un
     the piece around that place goes on, so each level has a few rows for each cell.
     """
 
-    def split(level: int):
+    def split(parts: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for row, raw, offsets in grams.chunks(b.column(4)):
                     symbols, own = Symbols.of(raw, offsets, unit), b.slice(row, len(offsets) - 1)
                     n = own.column(3).to_numpy()
                     n = np.where(n < 0, np.diff(symbols.first) - window + 1, n)
-                    which, cores, wholes, a, count = pieces_of(symbols, own.column(2).to_numpy(), n, level, window, gram)
+                    which, cores, wholes, a, count = pieces_of(symbols, own.column(2).to_numpy(), n, parts, window, gram)
                     who = pa.array(which)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(cores, pa.binary()), pa.array(wholes, pa.binary()), own.column(0).take(who), own.column(1).take(who), pa.array(a.astype(np.int32)), pa.array(count.astype(np.int32))],
@@ -169,8 +176,8 @@ def narrowed(scratch: Scratch, members: DataFrame, *, window: int, gram: int, un
 
     left = members.select("kind", "alone", F.lit(0).alias("a"), F.lit(-1).alias("n"), "bytes")
     done = None
-    for level in [*range((window - gram).bit_length() - 2, 0, -2), 0]:  # one level that holds all places would tell what the anchors tell
-        pieces = scratch.table(left.mapInArrow(split(level), "core binary, whole binary, kind binary, alone boolean, a int, n int"))
+    for parts in parts_of(window - gram + 1):
+        pieces = scratch.table(left.mapInArrow(split(parts), "core binary, whole binary, kind binary, alone boolean, a int, n int"))
         classes = cut(pieces.groupBy("core", "whole").agg(((F.count("*") == 1) & F.bool_and("alone")).alias("alone"), F.min(F.struct("kind", "a", "n")).alias("member")))
         found = pieces.where("alone").join(classes.where("not alone").select("core", "whole"), ["core", "whole"], "left_semi").select("kind", "a", (F.col("a") + F.col("n")).alias("b"))
         done = found if done is None else done.union(found)
