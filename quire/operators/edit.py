@@ -98,11 +98,12 @@ def carry_breaks(blocks: DataFrame) -> DataFrame:
     return own.withColumn("carried", F.coalesce(carried, F.lit(False))).where("kind = 'table'").select("doc_id", "block", (F.col("carried") | F.col("break")).alias("break"))
 
 
-_BASE = f"WITH {PARAGRAPH}, cmd AS (SELECT event_id % 1000 AS doc_id, min(event_id % 7) AS block, min(event_id % 11) AS pos, floor(min(value))::BIGINT AS n FROM events GROUP BY 1)"
+_BASE = f"WITH {PARAGRAPH}, cmd AS (SELECT event_id AS doc_id, event_id % 7 AS block, event_id % 11 AS pos, floor(value)::BIGINT AS n FROM events)"
 
 
 def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy((F.col("event_id") % 1000).alias("doc_id")).agg(F.min(F.col("event_id") % 7).alias("block"), F.min(F.col("event_id") % 11).alias("at"), F.floor(F.min("value")).cast("long").alias("n"))
+    """Each event is a command on the document of its number, so that commands grow with the tables."""
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), (F.col("event_id") % 7).alias("block"), (F.col("event_id") % 11).alias("at"), F.floor("value").cast("long").alias("n"))
 
 
 @query(_BASE + " SELECT p.doc_id, p.block, CASE WHEN pos <= length(text) THEN substr(text, 1, pos::INT) || '«x»' || substr(text, pos::INT + 1) ELSE text END AS text, CASE WHEN pos <= length(text) THEN 'ok' ELSE 'out_of_range' END AS status FROM paragraph p JOIN cmd USING (doc_id, block)", name="insert_text")

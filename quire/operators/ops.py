@@ -186,7 +186,7 @@ def op_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.when(F.col("event_type") == "view", "InsertParagraphAt").when(F.col("event_type") == "click", "DeleteBlock").when(F.col("event_type") == "error", "MoveBlock").when(F.col("event_type") == "signup", "Undo").otherwise("SetParagraphText")
     args = F.format_string('{"index":%d,"from":%d,"to":%d,"text":"t%d"}', F.col("event_id") % 9, F.col("event_id") % 5, F.col("event_id") % 7, F.col("event_id"))
     batch = F.when(op == "Undo", F.col("event_id") * 2 + 1).otherwise(F.floor(F.col("event_id") / 300) * 600)
-    return replay(paragraphs(spark, sf_dir), e.select((F.col("user_id") % 200).alias("doc_id"), F.col("event_id").alias("seq"), batch.alias("batch"), op.alias("op"), args.alias("args")))
+    return replay(paragraphs(spark, sf_dir), e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), batch.alias("batch"), op.alias("op"), args.alias("args")))
 
 
 @query(f"WITH {PARAGRAPH} SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id ORDER BY block) || '. ' || text AS item FROM paragraph WHERE simple AND text <> ''")
