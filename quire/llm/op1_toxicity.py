@@ -12,8 +12,7 @@ counterexamples. Last, the worst-window logits of texts kept out of training giv
 The model is fitted on at most `per_class` labelled rows of either label, drawn by a hash of their ids, in one task: a
 bound that its memory needs and that does not grow with the corpus. All texts are scored, whole. Windows begin at every
 sixteenth word and hold 32, so that each passage of up to 17 words lies whole in one. A word or character place is
-learned if three texts of the sample hold it, and one more for each 400; a round goes over up to 2,000 windows six
-times, over more twice.
+learned if LEAST texts of the sample hold it; a round goes over its windows PASSES times, whatever the sample's size.
 
 Defined cases: a null or empty text, or one without words, is scored as one empty window; labels that are null, or
 of unknown ids, or repeated, teach nothing or once; with no labelled row, or one label only, every score is the
@@ -39,6 +38,7 @@ from quire.llm.common import hide, map_batches, small_batches, text_only, unhide
 U = np.uint64
 PER_CLASS = 1200
 WINDOW, STRIDE = 32, 16
+LEAST, PASSES = 3, 2
 BUCKETS, WIDTH, HIDDEN, ATTENTION = 1 << 15, 16, 8, 8
 EDGES = ((0, 3), (0, 4), (0, 5), (0, 6), (1, 3), (1, 4))  # (0: begins, 1: ends, characters' bytes)
 
@@ -256,7 +256,7 @@ def _telling(t: Tokens, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         in1 += np.bincount(place[toxic[w]], minlength=BUCKETS)
         in0 += np.bincount(place[~toxic[w]], minlength=BUCKETS)
     odds = np.log((in1 + 0.5) / n1) - np.log((in0 + 0.5) / n0)
-    known = in1 + in0 >= 3 + len(toxic) // 400
+    known = in1 + in0 >= LEAST
     known[0] = False
     return np.where(known, odds, 0.0), known
 
@@ -288,7 +288,7 @@ def train(texts: list[str], labels: list[int], *, rounds: int = 4, batch: int =
         zeros = np.concatenate([top[~toxic & ~held], rng.choice(clean, min(len(clean), 5 * len(top)), replace=False)])
         use, y = np.concatenate([ones, zeros]), np.concatenate([np.ones(len(ones)), np.zeros(len(zeros))])
         weight = np.where(y == 1, len(zeros) / max(1, len(ones)) / 2, 1.0)
-        for _ in range(2 if len(use) > 2000 else 6):
+        for _ in range(PASSES):
             order = rng.permutation(len(use))
             for i in range(0, len(use), batch):
                 at = order[i : i + batch]
