@@ -41,6 +41,10 @@ def test_whole_table(spark, sf_dir):
     result = op.op6_decontamination(spark, sf_dir).collect()
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in result), key=str) == brute(docs, items)
     assert all(r["contaminated"] == (r["n_hit"] > 0) for r in result)
+    joined = op.find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), broadcast_bytes=0)
+    assert got(joined) == brute(docs, items)
+    spans = lambda df: sorted((r["doc_id"], str(r["hit_spans"])) for r in df.select("doc_id", "hit_spans").collect())
+    assert spans(joined) == spans(op.find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, 200])
