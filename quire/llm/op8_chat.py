@@ -7,7 +7,7 @@ headers, roles, texts and ends are copied by computed indices into one prealloca
 column as it is.
 
 Turns of a conversation are ordered by turn, then role, then text; rows are streamed in that order, never gathered,
-so a conversation of any length needs one batch of memory.
+so a conversation of any length needs the memory of one slice of some 512 KB, or of its longest text.
 
 Defined cases: null texts and roles are empty; null turns come first; rows whose conversation id is null are one
 conversation; repeated rows are turns of their own; roles other than assistant carry no loss; an empty table gives
@@ -61,6 +61,13 @@ def _large(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts are some 512 KB, or one text."""
+    for b in batches:
+        for row, _, offsets in grams.chunks(b.column(column)):
+            yield b.slice(row, len(offsets) - 1)
+
+
 def format_turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, formatted, loss_start, loss_end), in order within a conversation's partition.
 
@@ -72,7 +79,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in ordered.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches, 3):
             n, role, text = b.num_rows, _large(b.column(2)), escape(_large(b.column(3)))
             loss = pc.equal(role, "assistant").to_numpy(zero_copy_only=False)
             role = pc.replace_substring(escape(role), "\n", BREAK)
@@ -111,7 +118,7 @@ def digest_turns(formatted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sums, out = None, None, []
-        for b in batches:
+        for b in _pieces(batches, 2):
             role, text = parse(_large(b.column(2)))
             chars = pc.utf8_length(b.column(2)).to_pylist()
             raw, offsets = grams.texts(b.column(2))
