@@ -5,11 +5,12 @@ from __future__ import annotations
 import bisect
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.functions.text import FULL_WIDTH
+from quire.operators.placement import place, start_pages
 from quire.plans.registry import query
 from quire.sources.adapters import paragraphs
 
@@ -90,29 +91,18 @@ def line_breaks(paras: DataFrame, width: float = 42000.0) -> DataFrame:
 
 
 def paginate(heights: DataFrame, body: float) -> DataFrame:
-    """(doc_id, section, block, page): on which page each block starts: a running sum that starts anew when a page is full.
+    """(doc_id, section, block, page): on which page, from 1, each block starts.
 
-    heights: doc_id, section, block, breaks (boolean), parts (array<double>: a paragraph's lines or a table's rows). A
-    part goes to a new page if it does not fit, unless the page is empty or no page could hold it. Sections begin new
-    pages. The fold runs over one ordered array for each document, without Python.
+    heights: doc_id, section, block, breaks (boolean), parts (array<double>: a paragraph's lines or a table's rows, in
+    thousandths exact). A part goes to a new page if it does not fit, unless the page is empty or no page could hold it.
+    Sections begin new pages.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("section", "block", "breaks", "parts")))
-    zero = F.struct(F.lit(1).alias("page"), F.lit(0.0).alias("at"), F.lit(0).cast("long").alias("section"), F.array().cast("array<struct<section:bigint,block:bigint,page:int>>").alias("out"))
-
-    def part(acc: Column, h: Column) -> Column:
-        turn = (acc["at"] + h > body) & (acc["at"] > 0) & (h <= body)
-        page = F.when(turn, acc["page"] + 1).otherwise(acc["page"])
-        return F.struct(page.alias("page"), F.when(turn, h).otherwise(acc["at"] + h).alias("at"), F.when(acc["first"] == 0, page).otherwise(acc["first"]).alias("first"))
-
-    def block(acc: Column, b: Column) -> Column:
-        turn = ((b["section"] > acc["section"]) | b["breaks"]) & (acc["at"] > 0)
-        begin = F.struct(F.when(turn, acc["page"] + 1).otherwise(acc["page"]).alias("page"), F.when(turn, 0.0).otherwise(acc["at"]).alias("at"), F.lit(0).alias("first"))
-        done = F.aggregate(b["parts"], begin, part)
-        step = F.transform(F.array(done), lambda d: F.struct(d["page"].alias("page"), d["at"].alias("at"), b["section"].alias("section"), F.array_append(acc["out"], F.struct(b["section"].alias("section"), b["block"].alias("block"), F.when(d["first"] == 0, d["page"]).otherwise(d["first"]).alias("page"))).alias("out")))
-        return F.get(step, F.lit(0))
-
-    folded = heights.groupBy("doc_id").agg(ordered.alias("all")).select("doc_id", F.aggregate("all", zero, block).alias("end"))
-    return folded.select("doc_id", F.explode("end.out").alias("b")).select("doc_id", "b.section", "b.block", F.col("b.page").cast("long").alias("page"))
+    thousandths = lambda h: F.coalesce(F.round(h * 1000).cast("long"), F.lit(0))
+    parts = heights.select("doc_id", "section", "block", "breaks", F.size("parts").alias("n"), F.posexplode_outer("parts").alias("part", "h"))
+    none = F.lit(0).cast("long")
+    part = F.coalesce(F.col("part"), F.lit(0)).cast("long")
+    measured = [F.lit(True).alias("row"), (part == 0).alias("first"), (part >= F.col("n") - 1).alias("last"), thousandths(F.col("h")).alias("fit"), thousandths(F.col("h")).alias("adv"), none.alias("before"), none.alias("after"), "breaks", thousandths(F.lit(body)).alias("body")]
+    return start_pages(place(parts.select("doc_id", "section", "block", part.alias("part"), *measured))).withColumn("page", F.col("page") + 1)
 
 
 def _heights(spark: SparkSession, sf_dir: str) -> DataFrame:
