@@ -120,9 +120,9 @@ def fill_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(fill_actions(_roster(spark, sf_dir), _FIELDS), strict=True).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query(_ACTIONS + ", c AS (SELECT c_custkey AS row_no, c_name AS text FROM customer WHERE c_custkey % 2 = 0) SELECT row_no, key, value FROM action a WHERE EXISTS (SELECT 1 FROM c WHERE c.row_no = a.row_no AND c.text = a.value)")
+@query(_ACTIONS + ", c AS (SELECT c_custkey AS row_no, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE lower(c_name) END AS text FROM customer) SELECT row_no, key, value FROM action a WHERE EXISTS (SELECT 1 FROM c WHERE c.row_no = a.row_no AND c.text = a.value)")
 def fill_value_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey as row_no", "c_name as text")
+    grid = table(spark, sf_dir, "customer").selectExpr("c_custkey as row_no", "case when c_custkey % 2 = 0 then c_name else lower(c_name) end as text")
     return values_in_cells(fill_actions(_roster(spark, sf_dir), _FIELDS), grid).select("row_no", "key", "value")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.plans.registry import query
@@ -10,7 +13,6 @@ from quire.sources.adapters import PARAGRAPH, paragraphs, table
 
 #: The line advance where a paragraph names none, and pixels in a millimetre.
 LINE_SPACING, PX_PER_MM = 1.6, 96 / 25.4
-VIEW_ONLY = ("pdf",)
 
 
 def spacing_ratio(kind: Column, value: Column) -> Column:
@@ -67,6 +69,11 @@ def text_anchor(node: Column, offset: Column, length: Column) -> Column:
     return F.when(node.isNotNull(), inside.cast("long"))
 
 
+def caret_gap(hit: Column, node: Column) -> Column:
+    """Whether something was hit that has no editable text; nothing hit is no gap."""
+    return hit & node.isNull()
+
+
 def clicked(cell: Column, table_: Column, block: Column) -> dict[str, Column]:
     """What a click selects: a cell before its table before any block. Each is an id, or null where nothing was hit."""
     return {"kind": F.when(cell.isNotNull(), "cell").when(table_.isNotNull(), "table").when(block.isNotNull(), "block"), "picked": F.coalesce(cell, table_, block)}
@@ -83,10 +90,31 @@ def bound(refs: DataFrame, manifest: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def match_pages(matches: DataFrame, placed: DataFrame) -> DataFrame:
-    """matches (doc_id, seq, node) with the page of each, no smaller than that of one before. placed: doc_id, node, page."""
-    first = placed.groupBy("doc_id", "node").agg(F.min("page").alias("page"))
-    order = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return matches.join(first, ["doc_id", "node"], "left").withColumn("page", F.when(F.col("page").isNotNull(), F.max("page").over(order)))
+    """matches (doc_id, seq, node) with the page of each and what else placed has of the node there.
+
+    placed: doc_id, node, page and, if wanted, a box; a node may stand on several pages. A match is on its node's first
+    page that is not before the page of the last match that has one. Where no page is left it has none, and those that
+    follow go on from where they were. The walk holds one page number; its rows stream through a task in order.
+    """
+    kinds = {c: matches.schema[c].dataType.simpleString() for c in ("doc_id", "seq", "node")}
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, at = None, -1
+        for b in batches:
+            found = []
+            for d, pages in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if d != doc:
+                    doc, at = d, -1
+                page = next((p for p in pages or () if p >= at), None)
+                at = at if page is None else page
+                found.append(page)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.int64())], names=["doc_id", "seq", "node", "page"])
+
+    pages = placed.groupBy("doc_id", "node").agg(F.sort_array(F.collect_set(F.col("page").cast("long"))).alias("pages"))  # of one paragraph
+    asked = matches.select("doc_id", "seq", "node").join(pages, ["doc_id", "node"], "left").select("doc_id", "seq", "node", "pages")
+    walked = asked.repartition("doc_id").sortWithinPartitions("doc_id", "seq").mapInArrow(walk, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", page long")
+    box = [c for c in placed.columns if c not in ("doc_id", "node", "page")]
+    return walked.join(placed.withColumn("page", F.col("page").cast("long")).dropDuplicates(["doc_id", "node", "page"]), ["doc_id", "node", "page"], "left").select("doc_id", "seq", "node", "page", *box)
 
 
 def first_pages(placed: DataFrame, by: list[str]) -> DataFrame:
@@ -143,10 +171,11 @@ def column_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.posexplode(F.arrays_zip("m", "e")).alias("k", "x")).select("p_partkey", F.col("k").cast("long").alias("k"), F.col("x.m").alias("moved"), F.col("x.e").alias("even"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 > 0 THEN CASE WHEN event_id % 40 - 4.5 <= 0 THEN 0 WHEN event_id % 40 - 4.5 >= 20 THEN 20 ELSE floor(event_id % 40 - 4.5) END END::BIGINT AS caret, event_id % 5 = 0 AS gap FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 5 > 0 AND event_id % 7 > 0 THEN CASE WHEN event_id % 40 - 4.5 <= 0 THEN 0 WHEN event_id % 40 - 4.5 >= 20 THEN 20 ELSE floor(event_id % 40 - 4.5) END END::BIGINT AS caret, event_id % 5 = 0 AND event_id % 7 > 0 AS gap FROM events")
 def caret_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    node = F.when(F.col("event_id") % 5 > 0, F.col("event_id"))
-    return table(spark, sf_dir, "events").select("event_id", text_anchor(node, (F.col("event_id") % 40 - 4.5).cast("double"), F.lit(20)).alias("caret"), node.isNull().alias("gap"))
+    hit = F.col("event_id") % 7 > 0
+    node = F.when(hit & (F.col("event_id") % 5 > 0), F.col("event_id"))
+    return table(spark, sf_dir, "events").select("event_id", text_anchor(node, (F.col("event_id") % 40 - 4.5).cast("double"), F.lit(20)).alias("caret"), caret_gap(hit, node).alias("gap"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'cell' WHEN event_id % 3 = 0 THEN 'table' WHEN event_id % 5 = 0 THEN 'block' END AS kind, CASE WHEN event_id % 2 = 0 THEN user_id WHEN event_id % 3 = 0 OR event_id % 5 = 0 THEN event_id END AS picked FROM events")
@@ -162,19 +191,23 @@ def marquee_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marquee(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("section"), F.col("l_partkey").alias("block"), kind.alias("kind"), F.col("l_orderkey").alias("page")))
 
 
-@query("SELECT DISTINCT o_orderkey % 1000 AS doc_id, o_custkey AS ref, n_name AS part FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0")
+@query("SELECT DISTINCT o_orderkey // 4 AS doc_id, o_custkey AS ref, n_name AS part FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0")
 def bound_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 1000).alias("doc_id"), F.col("o_custkey").alias("ref"))
+    refs = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 4").alias("doc_id"), F.col("o_custkey").alias("ref"))
     manifest = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("ref"), F.col("c_nationkey").alias("part_id"))
     return bound(refs, manifest, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("part_id"), F.col("n_name").alias("part")))
 
 
-@query(f"WITH {PARAGRAPH}, m AS (SELECT doc_id, block AS seq, CASE WHEN block % 10 < 9 THEN ((block * 7) % 13) // 4 END AS page FROM paragraph) SELECT doc_id, seq, CASE WHEN page IS NOT NULL THEN max(page) OVER (PARTITION BY doc_id ORDER BY seq) END AS page FROM m")
+@query(f"""WITH RECURSIVE {PARAGRAPH}, m AS (SELECT doc_id, block AS seq, CASE WHEN block % 10 < 9 THEN list_distinct([block * 7 % 13 + block // 9, block * 7 % 13 + block // 9 + 4]) ELSE [] END AS pages FROM paragraph),
+walk AS (SELECT doc_id, -1::BIGINT AS seq, NULL::BIGINT AS page, 0::BIGINT AS at_ FROM (SELECT DISTINCT doc_id FROM m)
+  UNION ALL SELECT w.doc_id, m.seq, list_min(list_filter(pages, lambda p: p >= at_)), coalesce(list_min(list_filter(pages, lambda p: p >= at_)), at_) FROM walk w JOIN m ON m.doc_id = w.doc_id AND m.seq = w.seq + 1)
+SELECT doc_id, seq, page, page * 100 + seq % 100 AS y FROM walk WHERE seq >= 0""")
 def located_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = paragraphs(spark, sf_dir)
-    page = F.floor((F.col("block") * 7) % 13 / 4)
-    placed = p.where("block % 10 < 9").select("doc_id", F.col("node_id").alias("node"), F.explode(F.array(page, page + 1)).alias("page"))
-    return match_pages(p.select("doc_id", F.col("block").alias("seq"), F.col("node_id").alias("node")), placed).select("doc_id", "seq", "page")
+    page = F.col("block") * 7 % 13 + F.floor(F.col("block") / 9)
+    placed = p.where("block % 10 < 9").select("doc_id", F.col("node_id").alias("node"), "block", F.explode(F.array(page, page + 4)).alias("page"))
+    placed = placed.select("doc_id", "node", "page", (F.col("page") * 100 + F.col("block") % 100).alias("y"))
+    return match_pages(p.select("doc_id", F.col("block").alias("seq"), F.col("node_id").alias("node")), placed).select("doc_id", "seq", "page", "y")
 
 
 @query("SELECT l_suppkey AS section, l_partkey AS block, min(l_orderkey) AS page FROM lineitem GROUP BY ALL")

@@ -178,9 +178,9 @@ def protected_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protected_rows(cells(spark, sf_dir))
 
 
-@query(f"WITH {CELL}, op AS (SELECT event_id AS seq, (event_id * 3 % 15000) AS doc_id, event_id % 5 AS row, event_id % 3 AS col FROM events WHERE event_type = 'click') SELECT seq, doc_id, row, col FROM op WHERE NOT EXISTS (SELECT 1 FROM cell c WHERE c.doc_id = op.doc_id AND c.row = op.row AND (c.row = 0 OR c.shade IS NOT NULL))")
+@query(f"WITH {CELL}, op AS (SELECT event_id AS seq, event_id * 3 AS doc_id, event_id % 5 AS row, event_id % 3 AS col FROM events WHERE event_type = 'click') SELECT seq, doc_id, row, col FROM op WHERE NOT EXISTS (SELECT 1 FROM cell c WHERE c.doc_id = op.doc_id AND c.row = op.row AND (c.row = 0 OR c.shade IS NOT NULL))")
 def anti_protected_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'click'").selectExpr("event_id as seq", "event_id * 3 % 15000 as doc_id", "event_id % 5 as row", "event_id % 3 as col")
+    ops = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'click'").selectExpr("event_id as seq", "event_id * 3 as doc_id", "event_id % 5 as row", "event_id % 3 as col")
     return ops.join(protected_rows(cells(spark, sf_dir)), [KEY, "row"], "left_anti").select("seq", KEY, "row", "col")
 
 

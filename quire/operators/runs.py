@@ -71,8 +71,13 @@ def patch(rows: DataFrame, hit: Column, **changes: object) -> DataFrame:
 
 
 def set_range_shape(rows: DataFrame, first: int, last: int, shape: dict) -> DataFrame:
-    """All runs of the simple paragraphs with node ids from first to last take a whole shape."""
-    return patch(rows, F.col("simple") & F.col("node_id").between(first, last), **(DEFAULT | shape))
+    """All runs of the paragraphs with node ids from first to last take a whole shape; status says so for each document.
+
+    One structural paragraph among them refuses a document's edit (structural), as does a range without any (no_paragraph).
+    """
+    inside = F.col("node_id").between(first, last)
+    edits = rows.groupBy("doc_id").agg(F.when(F.count_if(inside) == 0, "no_paragraph").when(F.count_if(inside & ~F.col("simple")) > 0, "structural").otherwise("ok").alias("status"))
+    return patch(rows.join(edits, "doc_id"), inside & (F.col("status") == "ok"), **(DEFAULT | shape))
 
 
 def split_runs(rows: DataFrame, start: int, end: int) -> DataFrame:
@@ -162,9 +167,9 @@ def set_row_heights(rows: DataFrame, heights: list[int]) -> DataFrame:
     return rows.withColumn("status", F.when(ok, "ok").otherwise("bad_heights")).withColumn("height", F.when(F.col("status") == "ok", new).otherwise(F.col("height")))
 
 
-@query(f"WITH {RUN}, h AS (SELECT *, simple AND node_id BETWEEN 3 AND 6 AS hit FROM run) SELECT doc_id, block, start, text, CASE WHEN hit THEN 1400 ELSE height END AS height, hit OR bold AS bold, NOT hit AND italic AS italic, CASE WHEN hit THEN '#000000' ELSE color END AS color, CASE WHEN NOT hit THEN font END AS font FROM h")
+@query(f"WITH {RUN}, s AS (SELECT doc_id, CASE max(CASE WHEN node_id BETWEEN 3 AND 6 THEN CASE WHEN simple THEN 1 ELSE 2 END ELSE 0 END) WHEN 0 THEN 'no_paragraph' WHEN 1 THEN 'ok' ELSE 'structural' END AS status FROM run GROUP BY doc_id), h AS (SELECT *, status = 'ok' AND node_id BETWEEN 3 AND 6 AS hit FROM run JOIN s USING (doc_id)) SELECT doc_id, status, block, start, text, CASE WHEN hit THEN 1400 ELSE height END AS height, hit OR bold AS bold, NOT hit AND italic AS italic, CASE WHEN hit THEN '#000000' ELSE color END AS color, CASE WHEN NOT hit THEN font END AS font FROM h")
 def set_char_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return set_range_shape(runs(spark, sf_dir), 3, 6, {"height": 1400, "bold": True}).select(*_SHOWN)
+    return set_range_shape(runs(spark, sf_dir), 3, 6, {"height": 1400, "bold": True}).select(*_SHOWN, "status")
 
 
 @query(f"WITH {PIECE} SELECT doc_id, block, a AS start, substring(text, a - start + 1, b - a) AS text, CASE WHEN hit AND simple THEN 900 ELSE height END AS height, NOT (hit AND simple) AND bold AS bold, (hit AND simple) OR italic AS italic, CASE WHEN hit AND simple THEN '#0000FF' ELSE color END AS color, CASE WHEN NOT (hit AND simple) THEN font END AS font FROM piece")

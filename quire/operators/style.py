@@ -92,10 +92,10 @@ def missing_references(refs: DataFrame, pool: DataFrame) -> DataFrame:
     return refs.join(pool, "ref", "left_anti")
 
 
-@query("SELECT o_orderkey AS doc_id, o_orderpriority AS char_ref, coalesce(p.idx, 0)::BIGINT AS idx FROM orders LEFT JOIN (SELECT p_partkey AS xml_id, p_partkey + 1 AS idx FROM part WHERE p_partkey < 40) p ON p.xml_id = try_cast(substr(o_orderpriority, 1, 1) AS BIGINT) * 13")
+@query("SELECT o_orderkey AS doc_id, o_orderpriority AS char_ref, coalesce(p.idx, 0)::BIGINT AS idx FROM orders LEFT JOIN (SELECT p_partkey AS xml_id, p_partkey + 1 AS idx FROM part) p ON p.xml_id = o_custkey * 2")
 def pool_resolve_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("char_ref"), F.concat(F.lit(" "), (F.substring("o_orderpriority", 1, 1).cast("long") * 13).cast("string"), F.lit(" ")).alias("ref"))
-    pool = table(spark, sf_dir, "part").where("p_partkey < 40").selectExpr("p_partkey as xml_id", "p_partkey + 1 as idx")
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("char_ref"), F.concat(F.lit(" "), (F.col("o_custkey") * 2).cast("string"), F.lit(" ")).alias("ref"))
+    pool = table(spark, sf_dir, "part").selectExpr("p_partkey as xml_id", "p_partkey + 1 as idx")
     return resolve_pool(runs, "ref", pool).select("doc_id", "char_ref", "idx")
 
 

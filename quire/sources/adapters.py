@@ -63,11 +63,11 @@ cell AS (
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page, box, x, y, w, h): lines as placed boxes, eight pages to a thousand orders."""
+    """(page, box, x, y, w, h): lines as placed boxes, sixteen orders to a page."""
     line = table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     return line.withColumn("n", F.row_number().over(order)).select(
-        (F.col("l_orderkey") % 997).alias("page"),
+        F.expr("l_orderkey div 16").alias("page"),
         (F.col("l_orderkey") * 100 + F.col("n")).cast("long").alias("box"),
         (F.col("l_partkey") % 500).cast("double").alias("x"),
         (F.col("l_suppkey") * 7 % 800).cast("double").alias("y"),
@@ -77,14 +77,14 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOX = """box AS (
-  SELECT l_orderkey % 997 AS page, (l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate))::BIGINT AS box,
+  SELECT l_orderkey // 16 AS page, (l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate))::BIGINT AS box,
          (l_partkey % 500)::DOUBLE AS x, (l_suppkey * 7 % 800)::DOUBLE AS y, l_quantity * 4 AS w, l_quantity + l_linenumber AS h
   FROM lineitem)"""
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(probe, page, px, py): events as points on pages."""
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("probe"), (F.col("event_id") % 997).alias("page"), (F.col("user_id") * 13 % 600).cast("double").alias("px"), (F.col("event_id") * 17 % 900).cast("double").alias("py"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("probe"), F.expr("event_id div 11").alias("page"), (F.col("user_id") * 13 % 600).cast("double").alias("px"), (F.col("event_id") * 17 % 900).cast("double").alias("py"))
 
 
-PROBE = "probe AS (SELECT event_id AS probe, event_id % 997 AS page, (user_id * 13 % 600)::DOUBLE AS px, (event_id * 17 % 900)::DOUBLE AS py FROM events)"
+PROBE = "probe AS (SELECT event_id AS probe, event_id // 11 AS page, (user_id * 13 % 600)::DOUBLE AS px, (event_id * 17 % 900)::DOUBLE AS py FROM events)"
