@@ -12,8 +12,9 @@ cell, a row; there are some 0.7 cells for each 100 bytes.
 1. Anchors that one cell alone has, once, are buckets of one: their windows are done.
 2. Cells of equal bytes (equal 128-bit digests) are one class; each window of a class of two or more is repeated.
 3. The cells that are left, each alone in its class, are refined against the other classes of their anchor, one member
-   of each, by bucket pointers. An anchor that more than `block` classes have (a passage in very many surroundings) is
-   not gathered: its cells are narrowed down across the cluster, which grows in proportion.
+   of each, by bucket pointers. Where these are more than `block` symbols (a passage in very many surroundings), they
+   are first parted across the cluster, by what all windows at one stretch of distances from the anchor share, until
+   what is left of a part can be refined in one task.
 
 Symbols are bytes, or words (unit="words"), for windows that mean the same in every script.
 
@@ -38,8 +39,8 @@ from quire.llm import grams
 from quire.llm.common import Scratch, cut, hide, map_batches, row_key, text_only, unhide
 
 WINDOW = 400
-#: Classes of one anchor that one task compares.
-BLOCK = 200
+#: Symbols of one anchor's classes that one task refines; it takes some 100 bytes for each.
+BLOCK = 1 << 22
 
 
 @dataclass
@@ -142,13 +143,13 @@ def pieces_of(symbols: Symbols, a: np.ndarray, n: np.ndarray, level: int, window
     return which, cores, wholes, x - symbols.first[which], count
 
 
-def narrowed(scratch: Scratch, members: DataFrame, *, window: int, gram: int, unit: str) -> DataFrame:
-    """(kind, a, b): runs of repeated windows in cells that are alone in their class, without gathering the cells of an anchor.
+def parted(scratch: Scratch, members: DataFrame, *, window: int, gram: int, unit: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Anchors with more classes than one task refines: ((kind, a, b), (anchor, kind, alone, a, n)).
 
     members: kind, alone, bytes; one row for each class of cells. Windows that are equal stand equally far from their
-    anchor, so cells are cut into pieces by that distance, finer at each level. Pieces of equal bytes are repeated;
-    pieces whose core no other has are not; the rest go on, one for each class. Where a passage ends in a cell, only
-    the piece around that place goes on, so each level has a few rows for each cell.
+    anchor, so cells are cut into pieces by that distance, finer at each level. Pieces of equal bytes are repeated and
+    are the first result; pieces whose core no other has are not repeated; pieces of one core that are no more than
+    `block` symbols are the second, to be refined; the rest go on, one for each class.
     """
 
     def split(level: int):
@@ -168,16 +169,20 @@ def narrowed(scratch: Scratch, members: DataFrame, *, window: int, gram: int, un
         return run
 
     left = members.select("kind", "alone", F.lit(0).alias("a"), F.lit(-1).alias("n"), "bytes")
-    done = None
+    done = small = None
     for level in [*range((window - gram).bit_length() - 2, 0, -2), 0]:  # one level that holds all places would tell what the anchors tell
         pieces = scratch.table(left.mapInArrow(split(level), "core binary, whole binary, kind binary, alone boolean, a int, n int"))
-        classes = cut(pieces.groupBy("core", "whole").agg(((F.count("*") == 1) & F.bool_and("alone")).alias("alone"), F.min(F.struct("kind", "a", "n")).alias("member")))
+        classes = scratch.table(pieces.groupBy("core", "whole").agg(((F.count("*") == 1) & F.bool_and("alone")).alias("alone"), F.min(F.struct("kind", "a", "n")).alias("member")))
         found = pieces.where("alone").join(classes.where("not alone").select("core", "whole"), ["core", "whole"], "left_semi").select("kind", "a", (F.col("a") + F.col("n")).alias("b"))
-        done = found if done is None else done.union(found)
-        shared = cut(classes.groupBy("core").agg(F.count("*").alias("classes"), F.bool_or("alone").alias("open")).where("classes > 1 and open").select("core"))
-        rows = classes.join(shared, "core", "left_semi").select("member.*", "alone")
-        left = rows.join(members.select("kind", "bytes"), "kind").select("kind", "alone", "a", "n", "bytes")
-    return done
+        size = F.sum(F.col("member.n").cast("long") + window - 1)
+        shared = scratch.table(classes.groupBy("core").agg(F.count("*").alias("classes"), F.bool_or("alone").alias("open"), size.alias("size")).where("classes > 1 and open").select("core", (F.col("size") > block).alias("many")))
+        rows = scratch.table(classes.join(shared, "core").select("core", "member.*", "alone", "many"))
+        own = rows.where("not many").select(F.xxhash64("core").alias("anchor"), "kind", "alone", "a", "n")  # cores that share an identifier share no window
+        done, small = (found, own) if done is None else (done.union(found), small.union(own))
+        if not rows.where("many").limit(1).count():
+            break
+        left = rows.where("many").join(members.select("kind", "bytes"), "kind").select("kind", "alone", "a", "n", "bytes")
+    return done, small
 
 
 def repeated_starts(docs: DataFrame, *, window: int, unit: str, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
@@ -207,8 +212,20 @@ def repeated_starts(docs: DataFrame, *, window: int, unit: str, id_col: str, tex
                 parts = symbols.parts(s, s + flat.field("n").to_numpy() + window - 1)
                 yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("kind"), flat.field("alone"), flat.field("many"), pa.array(parts, pa.binary())], names=["anchor", "kind", "alone", "many", "bytes"])
 
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of the n windows from the a-th on."""
+        for b in batches:
+            for row, raw, offsets in grams.chunks(b.column(5)):
+                symbols, own = Symbols.of(raw, offsets, unit), b.slice(row, len(offsets) - 1)
+                a = symbols.first[:-1] + own.column(3).to_numpy()
+                parts = symbols.parts(a, a + own.column(4).to_numpy() + window - 1)
+                yield pa.RecordBatch.from_arrays([*[own.column(k) for k in range(4)], pa.array(parts, pa.binary())], names=["anchor", "kind", "alone", "a", "bytes"])
+
     def compare(rows: pa.Table) -> pa.RecordBatch:
-        """(kind, a, b) of the runs of repeated windows in cells that are alone in their class; rows come by whole anchors."""
+        """(kind, a, b) of the runs of repeated windows in cells that are alone in their class; rows come by whole anchors.
+
+        rows: anchor, kind, alone, the number of the first window, and the windows' bytes.
+        """
         kinds, anchors = rows.column("kind").combine_chunks(), rows.column("anchor").to_numpy()
         raw, offsets = grams.texts(rows.column("bytes").combine_chunks())
         symbols = Symbols.of(raw, offsets, unit)
@@ -220,7 +237,8 @@ def repeated_starts(docs: DataFrame, *, window: int, unit: str, id_col: str, tex
         change = np.zeros(len(hit), np.bool_)
         change[first[:-1][first[:-1] < len(hit)]] = True
         a, z = grams.runs_of(change, hit)
-        return pa.RecordBatch.from_arrays([kinds.take(pa.array(owner[a])), pa.array((a - first[owner[a]]).astype(np.int32)), pa.array((z + 1 - first[owner[a]]).astype(np.int32))], names=["kind", "a", "b"])
+        moved = rows.column("a").to_numpy()[owner[a]] - first[owner[a]]
+        return pa.RecordBatch.from_arrays([kinds.take(pa.array(owner[a])), pa.array((a + moved).astype(np.int32)), pa.array((z + 1 + moved).astype(np.int32))], names=["kind", "a", "b"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -245,19 +263,24 @@ def repeated_starts(docs: DataFrame, *, window: int, unit: str, id_col: str, tex
         cells = scratch.table(texts.mapInArrow(scan, f"id {kind}, row_key long, s int, n int, anchor long, kind binary, twice boolean"))
         # aggregates are materialised before they are joined back: a join with an aggregate that lies on the same
         # partitioning cannot be split where one anchor or class holds a large part of the rows
-        live = cut(cells.groupBy("anchor").agg(F.count("*").alias("k"), F.bool_or("twice").alias("twice")).where((F.col("k") > 1) | F.col("twice")).select("anchor"))
+        live = scratch.table(cells.groupBy("anchor").agg(F.count("*").alias("k"), F.bool_or("twice").alias("twice")).where((F.col("k") > 1) | F.col("twice")).select("anchor"))
         found = scratch.table(cells.join(live, "anchor", "left_semi"), instead=cells)
-        classes = cut(found.groupBy("anchor", "kind").agg(F.count("*").alias("k"), F.bool_or("twice").alias("twice"), F.min(F.struct("id", "row_key", "s", "n")).alias("member")))
-        anchors = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.min("k").alias("least"), F.bool_or("twice").alias("twice"))
-        anchors = cut(anchors.where((F.col("least") == 1) & ((F.col("classes") > 1) | F.col("twice"))).select("anchor", (F.col("classes") > block).alias("many")))
+        classes = scratch.table(found.groupBy("anchor", "kind").agg(F.count("*").alias("k"), F.bool_or("twice").alias("twice"), F.min(F.struct("id", "row_key", "s", "n")).alias("member")))
+        size = F.sum(F.col("member.n").cast("long") + window - 1)
+        anchors = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.min("k").alias("least"), F.bool_or("twice").alias("twice"), size.alias("size"))
+        anchors = scratch.table(anchors.where((F.col("least") == 1) & ((F.col("classes") > 1) | F.col("twice"))).select("anchor", (F.col("size") > block).alias("many")))
         wanted = classes.join(anchors, "anchor").select(F.col("member.id").alias("wid"), F.col("member.row_key").alias("wkey"), F.struct("anchor", "kind", (F.col("k") == 1).alias("alone"), "many", F.col("member.s").alias("s"), F.col("member.n").alias("n")).alias("cell"))
         wanted = wanted.groupBy("wid", "wkey").agg(F.collect_list("cell").alias("cells"))
         joined = texts.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("row_key") == F.col("wkey"))).select("_text", "cells")
         members = scratch.table(joined.mapInArrow(expand, "anchor long, kind binary, alone boolean, many boolean, bytes binary"))
-        few = members.where("not many").select("anchor", "kind", "alone", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-        runs = few.mapInArrow(judge, "kind binary, a int, b int")
+        few, done = members.where("not many").select("anchor", "kind", "alone", F.lit(0).alias("a"), "bytes"), None
         if members.where("many").limit(1).count():
-            runs = runs.union(narrowed(scratch, members.where("many").select("kind", "alone", "bytes"), window=window, gram=gram, unit=unit))
+            hot = members.where("many").select("kind", "alone", "bytes")
+            done, small = parted(scratch, hot, window=window, gram=gram, unit=unit, block=block)
+            few = few.union(small.join(hot.select("kind", "bytes"), "kind").select("anchor", "kind", "alone", "a", "n", "bytes").mapInArrow(cut_out, "anchor long, kind binary, alone boolean, a int, bytes binary"))
+        runs = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(judge, "kind binary, a int, b int")
+        if done is not None:
+            runs = runs.union(done)
         known = found.join(classes.select("anchor", "kind", "k"), ["anchor", "kind"])
         whole = known.where("k > 1").select("id", "row_key", F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b")).alias("run"))
         part = known.where("k = 1").join(runs, "kind").select("id", "row_key", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b")).alias("run"))

@@ -103,7 +103,7 @@ def brute_word_spans(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [2, 200])
+@pytest.mark.parametrize("block", [1, 300, op10_suffix.BLOCK])
 def test_word_windows_and_hot_anchors(spark, block):
     rows = texts(5, 120)
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -112,6 +112,20 @@ def test_word_windows_and_hot_anchors(spark, block):
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], sha(bytes(r["kept"]))) for r in got), key=str) == brute_word_spans(rows, 6)
 
 
+@pytest.mark.parametrize("classes, block", [(10, op10_suffix.BLOCK), (201, 2000), (201, op10_suffix.BLOCK), (3000, 2000), (3000, op10_suffix.BLOCK)])
+def test_a_passage_in_many_surroundings(spark, classes, block):
+    """Its ends stand in as many different cells as there are texts; some share surroundings of several lengths."""
+    rng = random.Random(classes)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    shared = ["".join(rng.choice("pqrst") for _ in range(40)) for _ in range(5)]
+    rows = []
+    for i in range(classes):
+        before, after = (rng.choice(shared)[rng.randint(0, 39) :] if rng.random() < 0.3 else "" for _ in range(2))
+        rows.append((i, f"{rng.random()}{before}{passage[rng.randint(0, 3) :]}{after[::-1]}{rng.random()}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bytes_result(df, window=40, block=block) == brute_bytes(rows, 40)
+
+
 def test_words_whose_sums_collide_are_told_apart(spark):
     """A Thue-Morse word and its complement have equal polynomial sums modulo 2**64 whatever the base."""
     thue = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
