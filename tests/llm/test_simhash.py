@@ -118,3 +118,29 @@ def test_keep_one_links_all_pairs_of_the_similarity(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for block in (16, 2048):
         assert {r["doc_id"] for r in op.keep_one(df, block=block).collect()} == set(label.tolist())
+
+
+def test_bitmaps_never_rule_out_what_is_near():
+    """They differ in no more bits than the sets do in members, and tell most unlike sets apart."""
+    from quire.llm import jaccard
+
+    rng = np.random.default_rng(9)
+    sets = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (0, 1, 5, 63, 64, 65, 300, 1000, 5000)]
+    sets += [np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, len(s) // 20).astype(np.uint64)]) for s in sets]
+    sets = [np.unique(s) for s in sets]
+    maps = jaccard.bitmaps(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            differ = len(np.setxor1d(a, b))
+            assert jaccard.apart(maps[i], maps[j]) <= differ
+            if min(len(a), len(b)) >= 300 and differ > len(a) and 0.8 < len(a) / len(b) < 1.25:
+                assert jaccard.apart(maps[i], maps[j]) > (len(a) + len(b)) / 9
+
+
+def test_one_star_of_many_links(spark):
+    """A centre with half of all links; components are those of union by hand."""
+    from quire.llm.components import components
+
+    links = [(5000, i) for i in range(2000)] + [(i, i + 1) for i in range(10000, 12000)]
+    got = {r["u"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long").repartition(7)).collect()}
+    assert all(got[i] == 0 for i in (*range(2000), 5000)) and all(got[i] == 10000 for i in range(10000, 12001))
