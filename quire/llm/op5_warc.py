@@ -33,7 +33,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, new_dir, small_batches
+from quire.llm.common import cut, new_dir, remove, small_batches
 
 BLOCK_ENTRIES = 512
 ARCHIVE_BYTES = 1 << 30
@@ -91,7 +91,8 @@ def write_archives(pages: DataFrame, at: str, *, date: str = "1970-01-01T00:00:0
     small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    same = rows.where(F.octet_length("payload") >= revisit_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("response")).where("n > 1 and response is not null").select("digest", "response")
+    # materialised, so that a digest with a large part of the pages does not keep the join from being split
+    same = cut(rows.where(F.octet_length("payload") >= revisit_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("response")).where("n > 1 and response is not null").select("digest", "response"))
     enough = F.octet_length("payload") >= revisit_bytes
     rows = rows.join(same, "digest", "left").select("page_id", "url", "payload", F.when(enough & ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
 
@@ -250,4 +251,6 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     at = new_dir(spark, "warc")
     files = archive(pages, at)
-    return read_captures(pages, at, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = cut(read_captures(pages, at, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    remove(spark, at)
+    return out

@@ -55,3 +55,12 @@ def test_small_payloads_are_all_responses(spark):
 def test_url_key():
     assert op.url_key("HTTPS://www.Example.COM:443/A/b?x=1#f") == "com,example)/a/b?x=1"
     assert op.url_key("http://example.com") == "com,example)/" and op.url_key(None) == ""
+
+
+def test_half_of_all_pages_are_one_page(spark, tmp_path):
+    """A digest with half of the rows: one response, all others revisit it; nothing is lost."""
+    rows = [(i, f"http://h{i % 7}.org/{i}", None if i % 4 == 0 else "" if i % 4 == 2 else f"<p>{i}</p>") for i in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    at = f"file://{tmp_path}/half"
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in op.read_captures(pages, at, op.archive(pages, at)).collect()}
+    assert got == {i: ("response", None) if i % 2 or i == 1998 else ("revisit", 1998) for i in range(2000)}
