@@ -199,7 +199,9 @@ def audit(docs: DataFrame, *, least_docs: int = LEAST_DOCS, block: int = BLOCK,
         heads = heads.select(F.lit(0).alias("kind"), "lang", "place", F.lit(None).cast("string").alias("term"), "n", "kept", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
         rows = cells.union(heads)
         mine = F.floor(F.col("place") / SIDE).cast("int")
-        tiles = F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.when(F.col("place") < 0, F.struct(k.alias("low"), k.alias("high"))).otherwise(F.struct(F.least(mine, k).alias("low"), F.greatest(mine, k).alias("high"))))
+        all_tiles = F.flatten(F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.transform(F.sequence(k, F.col("last")), lambda m: F.struct(k.alias("low"), m.alias("high")))))
+        own_tiles = F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.struct(F.least(mine, k).alias("low"), F.greatest(mine, k).alias("high")))
+        tiles = F.when(F.col("place") < 0, all_tiles).otherwise(own_tiles)  # the language's counts name all terms of a block, also those that a tile's sources lack
         rows = rows.withColumn("tile", F.explode(tiles)).select("lang", "block", F.col("tile.low").alias("low"), F.col("tile.high").alias("high"), "kind", "place", "term", "n", "kept")
         found = scratch.table(rows.groupBy("lang", "block", "low", "high").applyInArrow(_block, "lang string, i long, j long, term string, value long"))
         values = found.where("term is null").groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
