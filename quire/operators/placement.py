@@ -113,23 +113,31 @@ def _starts(batches: Iterator[pa.RecordBatch], stretch: int) -> Iterator[pa.Reco
         yield from pa.table({"doc_id": rows.column("doc_id"), "section": rows.column("section"), "ord": at[own], "base": rows.column("base"), "page": page[own]}).to_batches()
 
 
+def _reached(laid: DataFrame, key: str, order: list[str], stretch: int) -> DataFrame:
+    """(doc_id, section, ord, page): the entries of stretches that a section's first part leads to."""
+    jump = materialised(laid.mapInArrow(lambda batches: _exits(batches, stretch), f"{key}, nxt long, pages long"))
+    reached = jump.where("ord = 0").select(*order, F.lit(0).cast("long").alias("page"))
+    while jump.where("nxt is not null").limit(1).count():
+        ahead = reached.join(jump.where("nxt is not null"), order).select(*KEY, F.col("nxt").alias("ord"), (F.col("page") + F.col("pages")).alias("page"))
+        reached = materialised(reached.union(ahead))
+        over = jump.select(*KEY, F.col("ord").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("pages").alias("more"))
+        jump = materialised(jump.where("nxt is not null").join(over, [*KEY, "nxt"]).select(*order, F.col("nxt2").alias("nxt"), (F.col("pages") + F.col("more")).alias("pages")))
+    return reached
+
+
 def page_starts(linked: DataFrame, *, stretch: int = STRETCH) -> DataFrame:
     """(doc_id, section, ord, base, page): the parts that begin the pages of each section, pages from 0 in it. linked: links()."""
     kind = {c: linked.schema[c].dataType.simpleString() for c in KEY}
     key = f"doc_id {kind['doc_id']}, section {kind['section']}, ord long"
     rows = linked.select(*KEY, "ord", "base", "nxt")
-    entries = rows.where(F.floor(F.col("nxt") / stretch) != F.floor(F.col("ord") / stretch)).select(*KEY, F.col("nxt").alias("ord"), F.lit(True).alias("entry")).distinct()
+    entries = materialised(rows.where(F.floor(F.col("nxt") / stretch) != F.floor(F.col("ord") / stretch)).select(*KEY, F.col("nxt").alias("ord"), F.lit(True).alias("entry")).distinct())
     order = [*KEY, "ord"]
-    laid = rows.join(entries, order, "left").withColumn("entry", F.coalesce("entry", F.lit(False)) | (F.col("ord") == 0)).withColumn("s", F.floor(F.col("ord") / stretch))
+    rows = rows.withColumn("s", F.floor(F.col("ord") / stretch))
+    laid = rows.join(entries, order, "left").withColumn("entry", F.coalesce("entry", F.lit(False)) | (F.col("ord") == 0))
     deal = lambda df: df.repartition(*KEY, "s").sortWithinPartitions(*order)
-    jump = materialised(deal(laid).mapInArrow(lambda batches: _exits(batches, stretch), f"{key}, nxt long, pages long"))
-    reached = jump.where("ord = 0").select(*order, F.lit(0).cast("long").alias("page"))
-    while jump.where("nxt is not null").limit(1).count():
-        ahead = reached.join(jump.where("nxt is not null"), order).select(*KEY, F.col("nxt").alias("ord"), (F.col("page") + F.col("pages")).alias("page"))
-        reached = materialised(reached.union(ahead))
-        over = jump.select(*KEY, F.col("ord").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("pages").alias("more"))
-        jump = materialised(jump.where("nxt is not null").join(over, [*KEY, "nxt"]).select(*order, F.col("nxt2").alias("nxt"), (F.col("pages") + F.col("more")).alias("pages")))
-    return deal(laid.drop("entry").join(reached, order, "left")).mapInArrow(lambda batches: _starts(batches, stretch), f"{key}, base long, page long")
+    first = rows.where("ord = 0").select(*order, F.lit(0).cast("long").alias("page"))
+    reached = _reached(deal(laid), key, order, stretch) if entries.limit(1).count() else first
+    return deal(rows.join(reached, order, "left")).mapInArrow(lambda batches: _starts(batches, stretch), f"{key}, base long, page long")
 
 
 def place(parts: DataFrame, *, chunk: int = CHUNK, stretch: int = STRETCH) -> DataFrame:
