@@ -8,3 +8,4 @@ MODULES = ["find", "placement", "nested", "patches", "synth", "script", "caret",
 
 for _name in MODULES:
     importlib.import_module(f"quire.operators.{_name}")
+importlib.import_module("quire.streaming.sessions")
