@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["find", "placement", "nested", "patches", "synth", "script", "caret", "layout", "grid", "profile", "style", "spatial", "selection", "edit", "ops", "context", "intents", "fill", "charts", "files", "glyphs", "markup", "runs", "headers", "geometry", "extensions"]
+MODULES = ["find", "placement", "nested", "patches", "synth", "script", "objects", "caret", "layout", "grid", "profile", "style", "spatial", "selection", "edit", "ops", "context", "intents", "fill", "charts", "files", "glyphs", "markup", "runs", "headers", "geometry", "extensions"]
 
 for _name in MODULES:
     importlib.import_module(f"quire.operators.{_name}")
