@@ -16,6 +16,7 @@ from quire.functions.asof import as_of
 from quire.operators.script import KEY, applied
 from quire.plans.registry import query
 from quire.sources.adapters import PARAGRAPH, paragraphs, table
+from quire.sources.shared import materialised
 
 #: Kinds of charts, a chart's size without one in pixels, units of a pixel.
 CHARTS = ("bar", "pie", "line")
@@ -84,11 +85,11 @@ def placed_objects(commands: DataFrame, blocks: DataFrame, images: DataFrame, bi
     image or chart stands in a paragraph of its own. Images are (doc_id, section, pos, at, bin_ref, width, height), pos
     their block, at their place in it; a chart has no bin_ref. Of resizes of one block the last counts, for its first image.
     """
-    good = checked(commands, blocks, images).where("status = 'ok'")
+    good = materialised(checked(commands, blocks, images).where("status = 'ok'").drop("rows", "content"))
     inserts = good.where("op <> 'resize_image'")
     moves = applied(inserts.select(*KEY, "seq", F.lit("insert").alias("op"), "block", F.lit("before").alias("position"), F.lit(None).cast("string").alias("text")), blocks.select(*KEY, "block", "text"))
     kinds = inserts.select("doc_id", F.col("seq").cast("long").alias("made"), F.when(F.col("op") == "insert_table", "table").otherwise("paragraph").alias("new"))
-    after = moves.join(kinds, ["doc_id", "made"], "left").join(blocks.select(*KEY, "block", "kind"), [*KEY, "block"], "left").select(*KEY, "pos", "block", "made", F.coalesce("new", "kind").alias("kind"), "text")
+    after = materialised(moves.join(kinds, ["doc_id", "made"], "left").join(blocks.select(*KEY, "block", "kind"), [*KEY, "block"], "left").select(*KEY, "pos", "block", "made", F.coalesce("new", "kind").alias("kind"), "text"))
     sizes = good.where("op = 'resize_image'").groupBy(*KEY, "block").agg(F.max_by(F.struct("width", "height"), "seq").alias("s"))
     first = images.groupBy(*KEY, "block").agg(F.min("pos").alias("_first"))
     old = images.join(first, [*KEY, "block"]).join(sizes, [*KEY, "block"], "left").withColumn("s", F.when(F.col("pos") == F.col("_first"), F.col("s")))
