@@ -7,13 +7,14 @@ the stretches (one row each) with it filled in, and back. No page is one task's.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.plans.registry import query
 from quire.sources.adapters import PARAGRAPH, paragraphs
 from quire.sources.packages import pdf_lines
-from quire.sources.pdf import read_pages, text_operations
+from quire.sources.pdf import ems, read_pages, text_operations
 
 #: Operations in a stretch.
 WIDTH = 1 << 14
@@ -22,7 +23,7 @@ SIZE, LEADING = 12.0, 0.0
 
 
 def placed_shows(ops: DataFrame, by: list[str], *, width: int = WIDTH) -> DataFrame:
-    """ops (by, seq, op, numbers, text, ems, advance) to (by, seq, x, y, size, text, ems) of those that show text.
+    """ops (by, seq, op, numbers, text, at, shift, advance) to (by, seq, x, y, size, text, at, shift, advance) of those that show text.
 
     BT, and Tm with six operands, set the line; Td and TD move it, TD also sets the leading; T*, ' and " move it down
     by the leading. Each of these puts the place at the line's beginning, and what is shown moves it on by its ems
@@ -35,7 +36,7 @@ def placed_shows(ops: DataFrame, by: list[str], *, width: int = WIDTH) -> DataFr
     moves = resets | shifts | downs
     local = Window.partitionBy(*by, "_stretch").orderBy("seq")
     rows = ops.withColumn("_stretch", F.floor(F.col("seq") / width)).select(
-        *by, "_stretch", "seq", "text", "ems", "advance",
+        *by, "_stretch", "seq", "text", "at", "shift", "advance",
         F.last(F.when((op == "Tf") & (n >= 2), number(1)), ignorenulls=True).over(local).alias("_size"),
         F.last(F.when((op == "TL") & (n >= 1), number(0)).when(op == "TD", -number(1)), ignorenulls=True).over(local).alias("_leading"),
         F.sum(resets.cast("long")).over(local).alias("_line"), F.sum(moves.cast("long")).over(local).alias("_move"), downs.alias("_down"),
@@ -74,12 +75,17 @@ def placed_shows(ops: DataFrame, by: list[str], *, width: int = WIDTH) -> DataFr
     fresh = F.col("_line") > 0
     x = F.col("_x") + F.when(fresh, 0.0).otherwise(F.col("x_in")) + F.col("_before") + F.col("_before_open") * F.col("size_in") + F.when(F.col("_move") > 0, 0.0).otherwise(F.col("off_in"))
     y = F.col("_y") - F.col("_y_open") * F.col("leading_in") + F.when(fresh, 0.0).otherwise(F.col("y_in"))
-    return kept.select(*by, "seq", x.alias("x"), y.alias("y"), F.coalesce("_size", "size_in").alias("size"), "text", "ems")
+    return kept.select(*by, "seq", x.alias("x"), y.alias("y"), F.coalesce("_size", "size_in").alias("size"), "text", "at", "shift", "advance")
 
 
 def glyphs(shows: DataFrame, by: list[str]) -> DataFrame:
     """(by, seq, k, x, y, size, ch) of each character shown, k from 0 within its operation."""
-    each = shows.select(*by, "seq", "x", "y", "size", F.posexplode(F.arrays_zip(F.split("text", "").alias("ch"), F.col("ems").alias("em"))).alias("k", "g"))
+
+    @F.pandas_udf("array<double>")
+    def behind(text: pd.Series, at: pd.Series, shift: pd.Series) -> pd.Series:
+        return pd.Series([ems(t, a, s) for t, a, s in zip(text, at, shift, strict=True)])
+
+    each = shows.select(*by, "seq", "x", "y", "size", F.posexplode(F.arrays_zip(F.split("text", "").alias("ch"), behind("text", "at", "shift").alias("em"))).alias("k", "g"))
     return each.select(*by, "seq", "k", (F.col("x") + F.col("g.em") * F.col("size")).alias("x"), "y", "size", F.col("g.ch").alias("ch"))
 
 
@@ -136,5 +142,4 @@ walk AS (
 @query(f"WITH RECURSIVE {_WALK} SELECT doc_id, round(x, 4) AS x, round(ly, 4) AS y, size, round(x + em * size, 4) AS x_end, text FROM walk WHERE text <> ''")
 def pdf_shows(spark: SparkSession, sf_dir: str) -> DataFrame:
     shows = placed_shows(text_operations(_streams(spark, sf_dir), ["doc_id"]), ["doc_id"])
-    last = F.element_at("ems", -1) + F.when(F.endswith("text", F.lit(" ")), 0.3).otherwise(0.5)
-    return shows.select("doc_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "size", F.round(F.col("x") + last * F.col("size"), 4).alias("x_end"), "text")
+    return shows.select("doc_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "size", F.round(F.col("x") + F.col("advance") * F.col("size"), 4).alias("x_end"), "text")

@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -111,26 +112,33 @@ def _shown(op: str, operands: list[Any]) -> list[Any]:
     return [what] if isinstance(what, bytes) else []
 
 
-def text_rows(data: bytes) -> Iterator[tuple[str, list[float], str, list[float], float]]:
-    """(op, numbers, text, ems, advance) of operations on text.
+def text_rows(data: bytes) -> Iterator[tuple[str, list[float], str, list[int], list[float], float]]:
+    """(op, numbers, text, at, shift, advance) of operations on text.
 
-    Operands that are no numbers count as 0. Bytes are characters of Latin-1; ems says how far behind the place where
-    the operation begins each one stands, and advance how far it leads, both in ems.
+    Operands that are no numbers count as 0. Bytes are characters of Latin-1; before the character `at` the place is
+    shifted by `shift` ems, and the whole operation leads `advance` ems on.
     """
     for op, operands in operations(data):
         if op not in TEXT_OPERATORS:
             continue
         numbers = [x if isinstance(x, float) else 0.0 for x in operands]
-        text, ems, em = [], [], 0.0
+        text, at, shift = "", [], []
         for piece in _shown(op, operands):
             if isinstance(piece, float):
-                em -= piece / 1000.0
+                at.append(len(text))
+                shift.append(-piece / 1000.0)
             elif isinstance(piece, bytes):
-                text.append(piece.decode("latin-1"))
-                for b in piece:
-                    ems.append(em)
-                    em += SPACE_EM if b == 32 else CHAR_EM
-        yield op, numbers, "".join(text), ems, em
+                text += piece.decode("latin-1")
+        spaces = text.count(" ")
+        yield op, numbers, text, at, shift, SPACE_EM * spaces + CHAR_EM * (len(text) - spaces) + sum(shift)
+
+
+def ems(text: str, at: list[int], shift: list[float]) -> np.ndarray:
+    """How far behind the place where an operation begins each of its characters stands, in ems."""
+    lead = np.where(np.frombuffer(text.encode("latin-1"), np.uint8) == 32, SPACE_EM, CHAR_EM)
+    moved = np.zeros(len(text) + 1)
+    np.add.at(moved, np.asarray(at, int), shift)
+    return np.cumsum(lead) - lead + np.cumsum(moved)[:-1]
 
 
 #: Characters in a batch of operations.
@@ -138,8 +146,8 @@ BATCH = 1 << 16
 
 
 def text_operations(streams: DataFrame, by: list[str], content: str = "content") -> DataFrame:
-    """streams (by, content) to (by, seq, op, numbers, text, ems, advance); seq runs from 0 over a page's operations on text. A null stream has none."""
-    rest = T.StructType.fromDDL("seq long, op string, numbers array<double>, text string, ems array<double>, advance double")
+    """streams (by, content) to (by, seq, op, numbers, text, at, shift, advance); seq runs from 0 over a page's operations on text. A null stream has none."""
+    rest = T.StructType.fromDDL("seq long, op string, numbers array<double>, text string, at array<int>, shift array<double>, advance double")
     schema = T.StructType([streams.schema[c] for c in by] + rest.fields)
     arrow = to_arrow_schema(schema)
 
@@ -150,7 +158,7 @@ def text_operations(streams: DataFrame, by: list[str], content: str = "content")
             for *key, data in zip(*[batch.column(c).to_pylist() for c in [*by, content]], strict=True):
                 for seq, row in enumerate(text_rows(data or b"")):
                     rows.append((*key, seq, *row))
-                    chars += len(row[3]) + 16
+                    chars += len(row[2]) + 16
                     if chars >= BATCH:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
                         rows, chars = [], 0

@@ -9,10 +9,19 @@ from quire.operators import glyphs as G
 from quire.sources import pdf as P
 
 
+def behind(text, at, shift):
+    out, em = [], 0.0
+    for k, ch in enumerate(text):
+        em += sum(s for a, s in zip(at, shift, strict=True) if a == k)
+        out.append(em)
+        em += P.SPACE_EM if ch == " " else P.CHAR_EM
+    return out
+
+
 def walk(ops):
     """(seq, k, x, y, size, ch) of each character, one operation after another."""
     out, size, leading, line, x = [], G.SIZE, G.LEADING, [0.0, 0.0], 0.0
-    for seq, (op, n, text, ems, advance) in enumerate(ops):
+    for seq, (op, n, text, shifted, shift, advance) in enumerate(ops):
         at = lambda i: n[i] if i < len(n) else 0.0  # noqa: B023, E731
         if op == "Tf" and len(n) > 1:
             size = n[1]
@@ -30,7 +39,7 @@ def walk(ops):
             line = [line[0], line[1] - leading]
         if op in ("BT", "Td", "TD", "T*", "'", '"') or (op == "Tm" and len(n) == 6):
             x = line[0]
-        out += [(seq, k, x + em * size, line[1], size, ch) for k, (ch, em) in enumerate(zip(text, ems, strict=True))]
+        out += [(seq, k, x + em * size, line[1], size, ch) for k, (ch, em) in enumerate(zip(text, behind(text, shifted, shift), strict=True))]
         x += advance * size
     return out
 
@@ -69,7 +78,8 @@ def test_operations_by_hand():
     assert ops[3] == ("Tj", [b"Hello (P) (D)Fx"]) and ops[4] == ("TJ", [[b"A", -120.0, b"@"]])
     assert [op for op, _ in ops] == ["BT", "Tf", "Td", "Tj", "TJ", "BI", "ID", "ET"]
     (show,) = [r for r in P.text_rows(b"[(A ) -1000 (b)] TJ")]
-    assert show[2:] == ("A b", [0.0, 0.5, 1.8], pytest.approx(2.3))
+    assert show[2:] == ("A b", [2], [1.0], pytest.approx(2.3))
+    assert list(P.ems(*show[2:5])) == pytest.approx([0.0, 0.5, 1.8])
 
 
 def file(objects, head=b"%PDF-1.5\n"):
