@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -124,10 +124,14 @@ def replay(paras: DataFrame, log: DataFrame, *, limit: int = 50) -> DataFrame:
     A batch is made as a whole or not at all; Undo and Redo move by batches. One document is replayed in one task.
     """
 
-    def run(key: tuple, own: pd.DataFrame, ops: pd.DataFrame) -> pd.DataFrame:
-        blocks, undo, redo, revision = own.sort_values("block")["text"].tolist(), [], [], 0
-        for _, batch in ops.sort_values("seq").groupby("batch", sort=False):
-            kinds = batch["op"].tolist()
+    def run(key: tuple, own: pa.Table, ops: pa.Table) -> pa.Table:
+        blocks, undo, redo, revision = own.sort_by("block").column("text").to_pylist(), [], [], 0
+        batches: dict = {}
+        for batch, op, args in zip(*(ops.sort_by("seq").column(c).to_pylist() for c in ("batch", "op", "args")), strict=True):
+            if batch is not None:
+                batches.setdefault(batch, []).append((op, args))
+        for ops_ in batches.values():
+            kinds = [op for op, _ in ops_]
             if kinds in (["Undo"], ["Redo"]):
                 source, target = (undo, redo) if kinds == ["Undo"] else (redo, undo)
                 if source:
@@ -136,15 +140,17 @@ def replay(paras: DataFrame, log: DataFrame, *, limit: int = 50) -> DataFrame:
                 continue
             before = blocks
             try:
-                for op, args in zip(kinds, batch["args"], strict=True):
+                for op, args in ops_:
                     blocks = _apply(blocks, op, json.loads(args or "{}"))
             except (ValueError, KeyError):
                 blocks = before
                 continue
             undo, redo, revision = [*undo, before][-limit:], [], revision + 1
-        return pd.DataFrame({"doc_id": key[0], "block": range(len(blocks)), "text": blocks, "revision": revision})
+        n = len(blocks)
+        # types are named, for a document may be left without a block
+        return pa.table({"doc_id": pa.array([key[0].as_py()] * n, pa.int64()), "block": pa.array(range(n), pa.int64()), "text": pa.array(blocks, pa.string()), "revision": pa.array([revision] * n, pa.int64())})
 
-    return paras.select("doc_id", "block", "text").groupBy("doc_id").cogroup(log.groupBy("doc_id")).applyInPandas(run, "doc_id long, block long, text string, revision long")
+    return paras.select("doc_id", "block", "text").groupBy("doc_id").cogroup(log.groupBy("doc_id")).applyInArrow(run, "doc_id long, block long, text string, revision long")
 
 
 @query(f"WITH {CELL} SELECT doc_id, row, col, CASE WHEN active AND row <= 3 AND row + row_span > 2 AND col <= 4 AND col + col_span > 4 THEN '#FFFF00' ELSE shade END AS shade FROM cell")
