@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import grid, ops
+from quire.operators import grid, headers, ops
 
 
 def test_replay_may_leave_no_block(spark):
@@ -61,3 +61,14 @@ def test_widths_of_many_tables_in_a_batch(spark):
     found = grid.derive_widths(spark.createDataFrame(rows, "doc_id long, col long, col_span long, width double").repartition(5))
     assert {(r["doc_id"], r["col"]): r["width"] for r in found.collect()} == want
     assert "FlatMapGroups" not in found._jdf.queryExecution().toString() and found.where(F.col("col") < 0).count() == 0
+
+
+def test_border_expressions_do_not_multiply(spark):
+    """What an edge or a fill is read from is named once in the plan for each thing read, not once for each width or line it may be."""
+    entry = '<hh:borderFill><hh:leftBorder type="DASH" width=" 0.7 mm" color="#12aBcd"/><hh:rightBorder /><hh:topBorder type="ODD" width="2mm" color="red"/></hh:borderFill>'
+    rows = spark.createDataFrame([(entry,)], "entry string")
+    edges = [F.struct(*[c.alias(k) for k, c in headers.border_edge(F.col("entry"), side).items()]).alias(side) for side in ("left", "right", "top", "bottom")]
+    found = rows.select(*edges)
+    assert [tuple(x) for x in found.first()] == [("dashed", 2.6, "#12ABCD"), ("none", 0.5, "#000000"), ("solid", 7.56, "#000000"), (None, None, None)]
+    for df in (found, rows.select(*[c.alias(k) for k, c in headers.border_fill(F.col("entry")).items()])):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") < 100
