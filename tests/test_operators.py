@@ -1,5 +1,7 @@
 """Small cases with literal rows."""
 
+import time
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +187,14 @@ def test_chart_svg():
 
     svg = bar_chart(pd.DataFrame({"name": ["a<b", "c"], "value": [1.0, 3.0]}))
     assert svg.count("<rect") == 2 and "a&lt;b" in svg
+
+
+def test_line_breaking_of_long_words_and_of_batches(spark):
+    """A word without a break is not read to its end for each of its lines, and paragraphs of a batch are summed together."""
+    began = time.perf_counter()
+    lines = layout.break_lines("x" * 60_000, 1000.0)
+    assert lines == [(k, k + 2) for k in range(0, 60_000, 2)] and time.perf_counter() - began < 10
+    rows = [(1, 0, 0, "aa bb cc"), (1, 0, 1, None), (1, 0, 2, "한글).한"), (2, 0, 0, "ab\ncd"), (2, 0, 1, "")]
+    got = layout.line_breaks(spark.createDataFrame(rows, "doc_id long, section long, block long, text string"), 2500.0)
+    found = {(r["doc_id"], r["block"]): [tuple(x) for x in r["lines"]] for r in got.collect()}
+    assert found == {(1, 0): [(0, 3), (3, 8)], (1, 1): [(0, 0)], (1, 2): [(0, 4), (4, 5)], (2, 0): [(0, 2), (3, 5)], (2, 1): [(0, 0)]}
