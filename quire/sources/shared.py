@@ -19,3 +19,15 @@ def materialised(df: DataFrame) -> DataFrame:
             at = "file://" + os.path.join(tempfile.gettempdir(), "quire-shared")
         sc.setCheckpointDir(at)
     return df.checkpoint(eager=True)
+
+
+#: Rows of a task that sorts or keeps them.
+ROWS = 1 << 18
+
+
+def dealt(df: DataFrame, by: list[str], rows: int) -> DataFrame:
+    """df, of so many rows, dealt out by its keys over as many tasks as keep each to some ROWS rows.
+
+    Tasks that are merged by the size of what was shuffled grow with the input: sorted, rows take many times the bytes.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)), *by)

@@ -1,5 +1,6 @@
 """Small cases with literal rows."""
 
+import re
 import time
 
 import pandas as pd
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import edit, fill, find, grid, intents, layout, profile, selection, spatial, style
+from quire.plans import registry
 from quire.sources import packages, sinks
 from quire.sources.detect import detect
 
@@ -198,3 +200,18 @@ def test_line_breaking_of_long_words_and_of_batches(spark):
     got = layout.line_breaks(spark.createDataFrame(rows, "doc_id long, section long, block long, text string"), 2500.0)
     found = {(r["doc_id"], r["block"]): [tuple(x) for x in r["lines"]] for r in got.collect()}
     assert found == {(1, 0): [(0, 3), (3, 8)], (1, 1): [(0, 0)], (1, 2): [(0, 4), (4, 5)], (2, 0): [(0, 2), (3, 5)], (2, 1): [(0, 0)]}
+
+
+def test_tables_of_lines_are_dealt_out_once(spark, sf_dir):
+    """Cells, their rows and slots lie by their orders; no cell is sorted."""
+    for name in ("cell_text_first", "uncovered_columns"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        deals = set(re.findall(r"Exchange (hashpartitioning\([a-z_]+)", plan))
+        assert len(deals) == 1 and "SortAggregate" not in plan and "Join" not in plan, (name, deals)
+
+
+def test_uncovered_columns_of_tables_without_a_key(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 2, True), (1, 1, 1, 1, True), (1, 1, 2, 1, False), (None, 0, 0, 1, True)], "doc_id long, row long, col long, col_span long, active boolean")
+    got = grid.uncovered_columns(cells, grid.table_sizes(cells)).collect()
+    assert sorted(tuple(r) for r in got if r["doc_id"]) == [(1, 0, 2), (1, 1, 0), (1, 1, 2)]
+    assert [tuple(r) for r in got if not r["doc_id"]] == [(None, 0, 0)]  # as in SQL, null equals nothing
