@@ -24,25 +24,26 @@ from pyspark.sql import functions as F
 from quire.functions.asof import as_of
 from quire.plans.registry import query
 from quire.sources.adapters import PARAGRAPH, paragraphs
-from quire.sources.shared import materialised
+from quire.sources.shared import dealt, materialised
 
 CHUNK, STRETCH = 256, 4096
 KEY = ["doc_id", "section"]
 BEFORE = (Window.unboundedPreceding, -1)
 
 
-def links(parts: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
+def links(parts: DataFrame, *, chunk: int = CHUNK, rows: int | None = None) -> DataFrame:
     """parts with ord (from 0 in a section), top, base (the top of what fills a page that begins here) and nxt, the ord that begins the page after it.
 
     parts: doc_id, section, block, part, row (boolean), first, last (of their block), fit (what must fit), adv (how far
     it moves on), before, after, breaks (of the block), body (height of the section's pages). top counts from the
-    section's beginning as if it were one page.
+    section's beginning as if it were one page. rows is how many parts there are.
     """
+    rows = parts.count() if rows is None else rows
     own = [*KEY, "chunk"]
     down = Window.partitionBy(*own).orderBy("block", "part")
     up = Window.partitionBy(*own).orderBy(F.desc("block"), F.desc("part"))
     gap, rest = F.when(F.col("first"), F.col("before")).otherwise(0), F.col("adv") + F.when(F.col("last"), F.col("after")).otherwise(0)
-    d = parts.withColumn("chunk", F.floor(F.col("block") / chunk)).withColumns({"rest": rest, "step": gap + rest})
+    d = dealt(parts.withColumn("chunk", F.floor(F.col("block") / chunk)), own, rows).withColumns({"rest": rest, "step": gap + rest})
     d = d.withColumns({"top": F.sum("step").over(down) - F.col("rest"), "ord": F.row_number().over(down).cast("long") - 1})
     d = d.withColumn("end", F.when((F.col("fit") > 0) & (~F.col("row") | (F.col("fit") <= F.col("body"))), F.col("top") + F.least("fit", "body")))
     d = d.withColumn("forced", F.when(F.col("breaks") & F.col("first"), F.col("ord")))
@@ -60,7 +61,7 @@ def links(parts: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     d = d.withColumns({"base": F.coalesce("f.top", "top"), "after_break": F.col("f.next_forced")})
     rising = d.where("end > greatest(coalesce(high, -1), coalesce(most0, -1))").select(*KEY, F.col("end").alias("limit"), F.col("ord").alias("over"))
     d = d.select(*parts.columns, "ord", "top", "base", "after_break", (F.col("base") + F.col("body")).alias("limit"))
-    return as_of(d, rising, KEY, "limit", ["over"], width=1 << 22, above=True).withColumn("nxt", F.least("over", "after_break")).drop("limit", "over", "after_break")
+    return as_of(d, rising, KEY, "limit", ["over"], width=1 << 22, above=True, rows=2 * rows).withColumn("nxt", F.least("over", "after_break")).drop("limit", "over", "after_break")
 
 
 def _whole(batches: Iterator[pa.RecordBatch], stretch: int) -> Iterator[pa.Table]:
@@ -125,28 +126,31 @@ def _reached(laid: DataFrame, key: str, order: list[str], stretch: int) -> DataF
     return reached
 
 
-def page_starts(linked: DataFrame, *, stretch: int = STRETCH) -> DataFrame:
-    """(doc_id, section, ord, base, page): the parts that begin the pages of each section, pages from 0 in it. linked: links()."""
+def page_starts(linked: DataFrame, *, stretch: int = STRETCH, count: int | None = None) -> DataFrame:
+    """(doc_id, section, ord, base, page): the parts that begin the pages of each section, pages from 0 in it. linked: links(), count rows."""
+    count = linked.count() if count is None else count
     kind = {c: linked.schema[c].dataType.simpleString() for c in KEY}
     key = f"doc_id {kind['doc_id']}, section {kind['section']}, ord long"
     rows = linked.select(*KEY, "ord", "base", "nxt")
     entries = materialised(rows.where(F.floor(F.col("nxt") / stretch) != F.floor(F.col("ord") / stretch)).select(*KEY, F.col("nxt").alias("ord"), F.lit(True).alias("entry")).distinct())
     order = [*KEY, "ord"]
     rows = rows.withColumn("s", F.floor(F.col("ord") / stretch))
-    laid = rows.join(entries, order, "left").withColumn("entry", F.coalesce("entry", F.lit(False)) | (F.col("ord") == 0))
-    deal = lambda df: df.repartition(*KEY, "s").sortWithinPartitions(*order)
+    laid = dealt(rows, order, count).join(entries, order, "left").withColumn("entry", F.coalesce("entry", F.lit(False)) | (F.col("ord") == 0))
+    deal = lambda df: dealt(df, [*KEY, "s"], count).sortWithinPartitions(*order)
     first = rows.where("ord = 0").select(*order, F.lit(0).cast("long").alias("page"))
     reached = _reached(deal(laid), key, order, stretch) if entries.limit(1).count() else first
-    return deal(rows.join(reached, order, "left")).mapInArrow(lambda batches: _starts(batches, stretch), f"{key}, base long, page long")
+    return deal(dealt(rows, order, count).join(reached, order, "left")).mapInArrow(lambda batches: _starts(batches, stretch), f"{key}, base long, page long")
 
 
 def place(parts: DataFrame, *, chunk: int = CHUNK, stretch: int = STRETCH) -> DataFrame:
     """parts with page (from 0 in the document), y (from the top of the page's body) and turned: whether the part did not fit on the page before."""
-    linked = materialised(links(parts, chunk=chunk))
-    starts = materialised(page_starts(linked, stretch=stretch))
+    rows = parts.count()
+    linked = materialised(links(parts, chunk=chunk, rows=rows))
+    starts = materialised(page_starts(linked, stretch=stretch, count=rows))
     pages = starts.groupBy(*KEY).agg((F.max("page") + 1).alias("n"))
     pages = pages.select(*KEY, F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("section").rowsBetween(*BEFORE)), F.lit(0)).alias("page0"))
-    placed = as_of(linked.drop("base"), starts.withColumn("start", F.col("ord")), KEY, "ord", ["start", "base", "page"], width=stretch).join(pages, KEY)
+    begun = starts.join(pages, KEY).withColumn("start", F.col("ord"))  # each section's first part is among them
+    placed = as_of(linked.drop("base"), begun, KEY, "ord", ["start", "base", "page", "page0"], width=stretch, rows=2 * rows)
     return placed.select(
         *parts.columns,
         (F.col("page") + F.col("page0")).alias("page"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.asof import as_of
 from quire.operators import placement as P
+from quire.sources import shared
 
 SCHEMA = "doc_id string, section long, block long, part long, row boolean, first boolean, last boolean, fit long, adv long, before long, after long, breaks boolean, body long"
 
@@ -113,3 +114,12 @@ def test_as_of(spark, width):
         for k, t, i in left:
             near = [x for q, x, _ in right if q == k and (x > t if above else x <= t)]
             assert got[i] == ((min(near) if above else max(near)) * 10 if near else None)
+
+
+def test_tasks_stay_small_however_many_parts(spark, monkeypatch):
+    """Parts are dealt out by their number, not merged by the bytes that were shuffled."""
+    monkeypatch.setattr(shared, "ROWS", 100)
+    parts = P.document_parts(spark, "/root/testdata/sf0.001")
+    count = parts.count()
+    linked = P.links(parts, rows=count)
+    assert linked.rdd.getNumPartitions() == -(-2 * count // 100) > 8
