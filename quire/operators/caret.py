@@ -9,13 +9,14 @@ from quire.functions.asof import as_of
 from quire.operators.spatial import cell_at
 from quire.plans.registry import query
 from quire.sources.adapters import BOX, PARAGRAPH, boxes, paragraphs, table
+from quire.sources.shared import dealt
 
 #: How far past a cell's edge its neighbour is looked for, in pixels.
 PAST = 3.0
 LINE = ["doc_id", "page", "section", "para"]
 _RUN = ["char_start", "char_len", "x0", "x1", "top", "height"]
-#: Offsets in a bucket of the look-up.
-WIDTH = 1 << 16
+#: Offsets in a bucket of the look-up, and how many runs a request comes with, for the number of tasks.
+WIDTH, RUNS = 1 << 16, 16
 
 
 def caret_rects(requests: DataFrame, runs: DataFrame, *, width: int = WIDTH) -> DataFrame:
@@ -25,10 +26,16 @@ def caret_rects(requests: DataFrame, runs: DataFrame, *, width: int = WIDTH) ->
     the first it stands at that one's beginning; behind the last, or in a gap, at the last one's end. Of runs that
     begin together the leftmost counts. The run is looked up by an as-of join, so no paragraph is one task's.
     """
-    single = runs.groupBy(*LINE, "char_start").agg(F.min(F.struct("x0", "x1", "top", "height", "char_len")).alias("r")).select(*LINE, F.col("char_start").cast("long").alias("char_start"), *[F.col(f"r.{c}").alias(c) for c in _RUN[1:]])
-    ends = single.groupBy(*LINE).agg(F.min(F.struct(*_RUN)).alias("first"), F.max(F.struct(*_RUN)).alias("last"))
+    # runs and requests are dealt out once, by lines and buckets of offsets
+    by = [*LINE, "bucket"]
+    bucket = lambda c: F.floor(F.col(c) / width)
     asked = requests.withColumn("offset", F.col("offset").cast("long"))
-    at = as_of(asked.where("offset is not null"), single.withColumn("offset", F.col("char_start")), LINE, "offset", _RUN, width=width).join(ends, LINE, "left")
+    count = requests.count()
+    there = dealt(runs.select(*LINE, F.col("char_start").cast("long").alias("char_start"), *_RUN[1:]).withColumn("bucket", bucket("char_start")), by, RUNS * count)
+    single = there.groupBy(*by, "char_start").agg(F.min(F.struct("x0", "x1", "top", "height", "char_len")).alias("r")).select(*by, "char_start", *[F.col(f"r.{c}").alias(c) for c in _RUN[1:]])
+    ends = single.groupBy(*LINE).agg(F.min(F.struct(*_RUN)).alias("first"), F.max(F.struct(*_RUN)).alias("last"))
+    here = dealt(asked.where("offset is not null").withColumn("bucket", bucket("offset")), by, RUNS * count)
+    at = as_of(here, single.withColumn("offset", F.col("char_start")), LINE, "offset", _RUN, width=width, bucket="bucket").join(ends, LINE, "left")
     inside = F.col("offset") < F.col("char_start") + F.greatest("char_len", F.lit(1))
     along = F.when(F.col("char_len") > 0, (F.col("offset") - F.col("char_start")) / F.col("char_len")).otherwise(0.0)
     x = F.when(F.col("char_start").isNull(), F.col("first.x0")).when(inside, F.col("x0") + (F.col("x1") - F.col("x0")) * along).otherwise(F.col("last.x1"))
@@ -47,10 +54,12 @@ def neighbours(placed: DataFrame) -> DataFrame:
     return probes.select("probe").join(cell_at(probes, placed), "probe", "left").select(F.col("probe.own").alias("box"), "probe.direction", F.col("box").alias("neighbour"))
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs' text in runs of eight characters with a gap of one after every second; the rest of a paragraph is on the next page."""
+def _runs(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """Paragraphs' text in runs of eight characters with a gap of one after every second; twenty runs to a page. Of the pages that lines (doc_id, section, para, page) name, all runs."""
     p = paragraphs(spark, sf_dir).select("doc_id", "section", F.col("block").alias("para"), F.length("text").alias("n"))
-    each = p.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / 8) - 1, F.lit(0)).cast("int"))).alias("k"))
+    last = F.greatest(F.ceil(F.col("n") / 8) - 1, F.lit(0))
+    on = p.join(lines.select(*LINE).distinct(), ["doc_id", "section", "para"]).where((F.col("page") >= 0) & (F.col("page") * 20 <= last))
+    each = on.select("doc_id", "section", "para", "n", F.explode(F.sequence(F.col("page") * 20, F.least(F.col("page") * 20 + 19, last))).alias("k"))
     start = F.col("k") * 8
     length = F.greatest(F.least(F.when(F.col("k") % 2 == 1, 7).otherwise(8), F.col("n") - start), F.lit(0))
     x0 = (F.col("k") % 10 * 50).cast("double")
@@ -69,7 +78,7 @@ def caret_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     offset = F.col("event_id") % 3 * 70 + F.col("user_id") % 60 - 2
     asked = e.select("event_id", F.expr("event_id div 10").alias("doc_id"), F.floor(F.col("event_id") % 9 / 8).alias("page"), F.lit(0).cast("long").alias("section"), (F.col("user_id") % 6).alias("para"), offset.alias("offset"))
-    return caret_rects(asked.withColumnRenamed("event_id", "req"), _runs(spark, sf_dir)).select(F.col("req").alias("event_id"), "x", "top")
+    return caret_rects(asked.withColumnRenamed("event_id", "req"), _runs(spark, sf_dir, asked)).select(F.col("req").alias("event_id"), "x", "top")
 
 
 @query(f"""WITH {BOX}, d AS (SELECT box, page, 'left' AS direction, x - 3 AS px, y + h / 2 AS py FROM box UNION ALL SELECT box, page, 'right', x + w + 3, y + h / 2 FROM box UNION ALL SELECT box, page, 'up', x + w / 2, y - 3 FROM box UNION ALL SELECT box, page, 'down', x + w / 2, y + h + 3 FROM box)
