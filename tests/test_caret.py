@@ -55,3 +55,11 @@ def test_neighbours_of_a_grid(spark):
         for c in range(4):
             want = {"left": r * 10 + c - 1 if c else None, "right": r * 10 + c + 1 if c < 3 else None, "up": r * 10 + c - 10 if r else None, "down": r * 10 + c + 10 if r < 2 else None}
             assert {d: got[r * 10 + c, d] for d in want} == want
+
+
+def test_only_runs_of_lines_asked_for_are_made(spark, sf_dir):
+    lines = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 0, 1), (3, 0, 1, 0), (1, 0, 0, 99)], "doc_id long, page long, section long, para long")
+    lines = lines.select("doc_id", "page", "section", "para").union(lines.where("page = 0"))
+    got = C._runs(spark, sf_dir, lines).toPandas()
+    assert len(got) and not got.duplicated().any()
+    assert set(zip(got.doc_id, got.para, got.page, strict=True)) <= {(1, 0, 0), (1, 0, 1), (3, 1, 0)}
