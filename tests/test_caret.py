@@ -58,7 +58,7 @@ def test_neighbours_of_a_grid(spark):
 
 
 def test_only_runs_of_lines_asked_for_are_made(spark, sf_dir):
-    lines = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 0, 1), (3, 0, 1, 0), (1, 0, 0, 99)], "doc_id long, page long, section long, para long")
+    lines = spark.createDataFrame([(1, 0, 0, 0), (1, 1, 0, 0), (3, 0, 0, 1), (1, 0, 0, 99)], "doc_id long, page long, section long, para long")
     lines = lines.select("doc_id", "page", "section", "para").union(lines.where("page = 0"))
     got = C._runs(spark, sf_dir, lines).toPandas()
     assert len(got) and not got.duplicated().any()
