@@ -105,9 +105,9 @@ def _ball(width: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(masks, np.uint64), np.array([1 << (m.bit_length() - 1) for m in masks], np.uint64)
 
 
-def _index(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
+def _index(nodes: DataFrame, ball: int, segments: int) -> DataFrame:
     """(key, fingerprint, node, sketch, probe): the table's entries and the lookups."""
-    layout = [(i, a, w, *_ball(w, radius // segments)) for i, (a, w) in enumerate(segments_of(segments))]
+    layout = [(i, a, w, *_ball(w, ball)) for i, (a, w) in enumerate(segments_of(segments))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,8 +130,8 @@ def _alike(x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
     return ((x ^ y)[..., None].view(np.uint8) == 0).sum(-1) >= least
 
 
-def forest(fp: np.ndarray, sketch: np.ndarray, probe: np.ndarray, radius: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among entries of one cell; two lookups are not linked, the table is between."""
+def forest(fp: np.ndarray, sketch: np.ndarray, probe: np.ndarray, radius: int, least: int, spare: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span what is linked among entries of one cell, all of them or, if they are over `spare` an entry, a forest; two lookups are not linked, the table is between."""
     table = np.flatnonzero(~probe)
     pairs_a, pairs_b, n = [], [], 0
     for i in range(0, len(table), 256):
@@ -146,7 +146,7 @@ def forest(fp: np.ndarray, sketch: np.ndarray, probe: np.ndarray, radius: int, l
         pairs_a.append(x)
         pairs_b.append(y)
         n += len(x)
-        if n > 8 * len(fp):
+        if n > spare * len(fp):
             return _walk(fp, sketch, probe, radius, least)
     return np.concatenate(pairs_a), np.concatenate(pairs_b)
 
@@ -172,7 +172,7 @@ def _walk(fp: np.ndarray, sketch: np.ndarray, probe: np.ndarray, radius: int, le
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _cells(rows: DataFrame, radius: int, least: int) -> DataFrame:
+def _cells(rows: DataFrame, radius: int, least: int, spare: int) -> DataFrame:
     """Links of each cell; rows come sorted by cell."""
 
     def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, sketch: np.ndarray, probe: np.ndarray) -> pa.RecordBatch:
@@ -185,7 +185,7 @@ def _cells(rows: DataFrame, radius: int, least: int) -> DataFrame:
             ok &= _alike(sketch[x], sketch[x + 1], least)
         out_a, out_b = [node[x[ok]]], [node[x[ok] + 1]]
         for s, n in zip(edge[live[size[live] > 2]].tolist(), size[live[size[live] > 2]].tolist(), strict=True):
-            a, b = forest(fp[s : s + n], sketch[s : s + n], probe[s : s + n], radius, least)
+            a, b = forest(fp[s : s + n], sketch[s : s + n], probe[s : s + n], radius, least, spare)
             out_a.append(node[s + a])
             out_b.append(node[s + b])
         u, v = np.concatenate(out_a), np.concatenate(out_b)
@@ -209,13 +209,16 @@ def _cells(rows: DataFrame, radius: int, least: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def links(nodes: DataFrame, *, radius: int = 4, segments: int = 3, least: int = 0, block: int = BLOCK) -> DataFrame:
+def links(nodes: DataFrame, *, radius: int = 4, segments: int = 3, least: int = 0, block: int = BLOCK, spare: int = 8, ball: int | None = None) -> DataFrame:
     """(u, v): links that connect all nodes with fingerprints at `radius` or fewer differing bits.
 
-    nodes: fingerprint, node and sketch. With least, so many bytes of two nodes' sketches must agree besides. Best run
-    with arrow_rows of some 20,000.
+    With a ball smaller than radius // segments lookups are fewer, and near nodes that share no segment but for so many
+    bits may be left apart; only for callers that look for what is missed by other means.
+    nodes: fingerprint, node and sketch. With least, so many bytes of two nodes' sketches must agree besides. A cell with
+    more than `spare` links an entry gives a forest, which begins at its least node, so that cells that hold the same
+    nodes give the same links. Best run with arrow_rows of some 20,000.
     """
-    index = _index(nodes, radius, segments)
+    index = _index(nodes, radius // segments if ball is None else ball, segments)
     hot = index.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("probe")).alias("t")).where((F.col("n") > block) & (F.col("t") > 0))
     hot = hot.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fingerprint", "node"), F.col("blocks")).cast("int")
@@ -223,7 +226,7 @@ def links(nodes: DataFrame, *, radius: int = 4, segments: int = 3, least: int =
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j) + 1)
     )
     rows = index.join(hot, "key", "left").withColumn("pair", F.explode(pairs)).select(F.xxhash64("key", "pair").alias("cell"), "fingerprint", "node", "sketch", "probe")
-    return _cells(rows.repartition("cell").sortWithinPartitions("cell"), radius, least)
+    return _cells(rows.repartition("cell").sortWithinPartitions("cell", "node"), radius, least, spare)
 
 
 def near_duplicates(docs: DataFrame, *, shingle_words: int = 4, radius: int = 4, segments: int = 3, least: int = 0, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
