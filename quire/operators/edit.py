@@ -31,11 +31,33 @@ def split_runs(runs: DataFrame, start: str, end: str) -> DataFrame:
     """
     order = Window.partitionBy("doc_id", "block").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     base = runs.withColumn("at", F.coalesce(F.sum(F.length("text")).over(order), F.lit(0)))
-    a = F.least(F.greatest(F.col(start) - F.col("at"), F.lit(0)), F.length("text")).cast("int")
-    b = F.greatest(a, F.least(F.greatest(F.col(end) - F.col("at"), F.lit(0)), F.length("text"))).cast("int")
-    piece = lambda n, s, e, inside: F.struct(F.lit(n).alias("part"), F.substring("text", s + 1, e - s).alias("text"), F.lit(inside).alias("inside"))
-    parts = F.array(piece(0, F.lit(0), a, False), piece(1, a, b, True), piece(2, b, F.length("text"), False))
-    return base.select("doc_id", "block", "run", F.explode(F.filter(parts, lambda p: p["text"] != "")).alias("p")).select("doc_id", "block", "run", "p.part", "p.text", "p.inside")
+    return base.select("doc_id", "block", "run", F.explode(_parts(F.col("text"), F.col("at"), start, end)).alias("p")).select("doc_id", "block", "run", "p.part", "p.text", "p.inside")
+
+
+def split_lines(lines: DataFrame, start: str, end: str) -> DataFrame:
+    """split_runs of paragraphs that have all their runs in one row: doc_id, block, runs (an array of texts) and the range's columns.
+
+    Runs are not dealt out. Only places before the range's end count, so only as many runs with a text as it has characters are summed.
+    """
+    whole = lambda t, i: F.struct(i.cast("long").alias("run"), F.lit(2).alias("part"), t.alias("text"), F.lit(False).alias("inside"))
+    told = F.filter(F.transform("runs", whole), lambda r: r["text"] != "")
+    most = F.greatest(F.col(start), F.col(end), F.lit(0)).cast("int")
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<run:bigint,text:string,at:int>>").alias("runs"))
+    add = lambda got, r: F.struct((got["at"] + F.length(r["text"])).alias("at"), F.concat(got["runs"], F.array(F.struct(r["run"].alias("run"), r["text"].alias("text"), got["at"].alias("at")))).alias("runs"))
+    ahead = F.aggregate(F.slice("_told", F.lit(1), F.col("_most")), none, add)["runs"]
+    cut = F.flatten(F.transform(ahead, lambda r: F.transform(_parts(r["text"], r["at"], start, end), lambda p: F.struct(r["run"].alias("run"), p["part"].alias("part"), p["text"].alias("text"), p["inside"].alias("inside")))))
+    rest = F.slice("_told", F.col("_most") + 1, F.greatest(F.size("_told"), F.lit(0)))
+    each = lines.withColumns({"_told": told, "_most": most}).select("doc_id", "block", F.explode(F.concat(cut, rest)).alias("r"))
+    return each.select("doc_id", "block", "r.*")
+
+
+def _parts(text: Column, at: Column, start: str, end: str) -> Column:
+    """The parts of a run that begins at `at` in its paragraph, without empty ones."""
+    a = F.least(F.greatest(F.col(start) - at, F.lit(0)), F.length(text)).cast("int")
+    b = F.greatest(a, F.least(F.greatest(F.col(end) - at, F.lit(0)), F.length(text))).cast("int")
+    piece = lambda n, s, e, inside: F.struct(F.lit(n).alias("part"), F.substring(text, s + 1, e - s).alias("text"), F.lit(inside).alias("inside"))
+    parts = F.array(piece(0, F.lit(0), a, False), piece(1, a, b, True), piece(2, b, F.length(text), False))
+    return F.filter(parts, lambda p: p["text"] != "")
 
 
 def reindex_delete(blocks: DataFrame, doomed: DataFrame) -> DataFrame:
@@ -126,8 +148,8 @@ c AS (SELECT *, least(greatest(10 - pos, 0), length(text)) AS a FROM r), d AS (S
 p AS (SELECT doc_id, block, run, 0 AS part, substr(text, 1, a::INT) AS text, false AS inside FROM d UNION ALL SELECT doc_id, block, run, 1, substr(text, a::INT + 1, (b - a)::INT), true FROM d UNION ALL SELECT doc_id, block, run, 2, substr(text, b::INT + 1), false FROM d)
 SELECT * FROM p WHERE text <> ''""")
 def run_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = paragraphs(spark, sf_dir).select("doc_id", "block", F.posexplode(F.split("text", " ")).alias("run", "text")).withColumn("run", F.col("run").cast("long"))
-    return split_runs(runs.withColumn("a", F.lit(10)).withColumn("b", F.lit(25)), "a", "b")
+    lines = paragraphs(spark, sf_dir).select("doc_id", "block", F.split("text", " ").alias("runs"), F.lit(10).alias("a"), F.lit(25).alias("b"))
+    return split_lines(lines, "a", "b")
 
 
 @query(f"WITH {PARAGRAPH} SELECT doc_id, block AS old_block, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS block, text FROM paragraph WHERE NOT (block % 4 = doc_id % 4)")
