@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
+from itertools import groupby
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,12 +56,16 @@ def package(paragraphs_of: list[list[str]]) -> bytes:
 def write_packages(paras: DataFrame) -> DataFrame:
     """(doc_id, content): an HWPX package for each document. One document is one package, so its paragraphs meet in one task."""
 
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["section", "block"])
-        sections = [g["text"].tolist() for _, g in frame.groupby("section")]
-        return pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]], "content": [package(sections)]})
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            content = []
+            for lines in b.column(1):
+                section, text = (lines.values.field(k).to_pylist() for k in (0, 2))
+                content.append(package([[text[k] for k in which] for _, which in groupby(range(len(text)), section.__getitem__)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.binary())], names=["doc_id", "content"])
 
-    return paras.select("doc_id", "section", "block", "text").groupBy("doc_id").applyInPandas(build, "doc_id long, content binary")
+    lines = F.array_sort(F.collect_list(F.struct("section", "block", "text"))).alias("lines")
+    return paras.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(lines).mapInArrow(build, "doc_id long, content binary")
 
 
 def report_json(report: DataFrame) -> DataFrame:
