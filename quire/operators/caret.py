@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.asof import as_of
-from quire.operators.spatial import cell_at
+from quire.operators.spatial import cell_at, cell_at_sparse
 from quire.plans.registry import query
 from quire.sources.adapters import BOX, PARAGRAPH, boxes, paragraphs, table
 from quire.sources.shared import dealt
 
 #: How far past a cell's edge its neighbour is looked for, in pixels.
 PAST = 3.0
+#: Boxes of a page up to which points meet all of them; a page of more goes by tiles.
+SPARSE = 1024
 LINE = ["doc_id", "page", "section", "para"]
 _RUN = ["char_start", "char_len", "x0", "x1", "top", "height"]
 #: Offsets in a bucket of the look-up, and how many runs a request comes with, for the number of tasks.
@@ -51,7 +53,9 @@ def neighbours(placed: DataFrame) -> DataFrame:
     point = lambda name, px, py: F.struct(F.lit(name).alias("direction"), px.alias("px"), py.alias("py"))
     four = F.array(point("left", x - PAST, y + h / 2), point("right", x + w + PAST, y + h / 2), point("up", x + w / 2, y - PAST), point("down", x + w / 2, y + h + PAST))
     probes = placed.select(F.col("box").alias("own"), "page", F.explode(four).alias("p")).select(F.struct("own", "p.direction").alias("probe"), "page", "p.px", "p.py")
-    return probes.select("probe").join(cell_at(probes, placed), "probe", "left").select(F.col("probe.own").alias("box"), "probe.direction", F.col("box").alias("neighbour"))
+    most = placed.groupBy("page").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    found = cell_at_sparse(probes, placed) if most <= SPARSE else probes.select("probe").join(cell_at(probes, placed), "probe", "left")
+    return found.select(F.col("probe.own").alias("box"), "probe.direction", F.col("box").alias("neighbour"))
 
 
 def _runs(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:

@@ -63,3 +63,18 @@ def test_only_runs_of_lines_asked_for_are_made(spark, sf_dir):
     got = C._runs(spark, sf_dir, lines).toPandas()
     assert len(got) and not got.duplicated().any()
     assert set(zip(got.doc_id, got.para, got.page, strict=True)) <= {(1, 0, 0), (1, 0, 1), (3, 1, 0)}
+
+
+def test_neighbours_on_sparse_and_dense_pages(spark, monkeypatch):
+    """Pages of few boxes need no tiles, and lines are dealt out by page alone; either way gives the same."""
+    from quire.operators import caret
+    from quire.sources.adapters import boxes
+
+    placed = boxes(spark, "/root/testdata/sf0.001")
+    sparse = caret.neighbours(placed)
+    plan = sparse._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.split("\n") if " Exchange " in line]
+    assert dealt and all("hashpartitioning(page" in line and "REPARTITION_BY_NUM" in line for line in dealt)
+    monkeypatch.setattr(caret, "SPARSE", 0)
+    tiled = caret.neighbours(placed)
+    assert sorted(map(str, sparse.collect())) == sorted(map(str, tiled.collect()))
